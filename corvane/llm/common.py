@@ -89,12 +89,26 @@ def _powers(n: int) -> list[np.ndarray]:
     return _pow
 
 
-def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of ``values[start:end]`` for each pair of bounds; equal spans get equal hashes."""
-    power, inverse = _powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power[: len(values)], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start])
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Hash of ``values[start:end]`` for each pair of ascending bounds; equal spans get equal hashes.
+
+    Bytes (uint8) are first replaced by fixed random 64-bit numbers.  The work goes by
+    in strips of ``step`` values, so its memory doesn't grow with the block.
+    """
+    out = np.empty(len(start), np.uint64)
+    lo = 0
+    while lo < len(start):
+        base = int(start[lo])
+        hi = max(lo + 1, int(np.searchsorted(end, base + step, side="right")))
+        v = values[base : int(end[hi - 1])]
+        v = _BYTE[v] if v.dtype == np.uint8 else v
+        power, inverse = _powers(len(v) + 1)
+        total = np.zeros(len(v) + 1, np.uint64)
+        np.cumsum(v * power[: len(v)], out=total[1:])
+        s, e = start[lo:hi] - base, end[lo:hi] - base
+        out[lo:hi] = mix((total[e] - total[s]) * inverse[s])
+        lo = hi
+    return out
 
 
 class Block:
@@ -114,7 +128,7 @@ class Block:
         self.n_words = np.diff(self.first)
 
     def word_hashes(self) -> np.ndarray:
-        return span_hashes(_BYTE[self.buf], self.start, self.end)
+        return span_hashes(self.buf, self.start, self.end)
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first word, and hash, of each window of k words inside one document."""

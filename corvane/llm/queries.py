@@ -7,19 +7,79 @@ parameters and derive the result columns (digests, flags) from their outputs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corvane.llm.contamination import find_contamination
+from corvane.llm.exact_dedup import exact_duplicates
+from corvane.llm.mixing import mix_sources
 from corvane.llm.near_dedup import near_duplicates
+from corvane.llm.sharding import shard_documents
+from corvane.llm.substring_dedup import remove_repeated_windows
+from corvane.llm.token_output import tokenised
+from corvane.llm.url_filter import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), limit=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_windows(_table(spark, sf_dir, "documents"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13, share=20)
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents"), shards=40)
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tokenised(_table(spark, sf_dir, "documents"), byte_bpe(), end=0)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_url_filter": op2_url_filter,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op7_exact_dedup": op7_exact_dedup,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_sharding": op9_sharding,
+    "op10_token_output": op10_token_output,
 }
 ORACLE_SQL: dict[str, str] = {}
