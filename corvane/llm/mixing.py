@@ -12,6 +12,8 @@ from corvane.llm.common import WORD, Scratch
 
 #: Bits of the seeded hash that one level of bins resolves, and levels.
 BITS, LEVELS = 10, 2
+#: Single documents that bring a pattern nearer to its share.
+SWAPS = 3
 
 
 def targets(sizes: Mapping, weights: Mapping, limit: float = 3.0) -> dict:
@@ -114,6 +116,7 @@ def mix_sources(
     3. A pattern that gives q times its size gives every document floor(q) times, and the rest to the
        documents whose hash is below a threshold.  The threshold comes from 1,024 sums for each pattern, then 1,024 inside the bin where the
        rest runs out, then that bin's documents (one in a million of the pattern).  No source is gathered in one task.
+       At last ``SWAPS`` documents, each of the size nearest to what is missing or too much, are added or dropped.
     4. The choice is a lookup of the row's pattern (at most ``max_patterns`` rows): no shuffle of texts.
 
     For a row of several sources, ``source_size`` and ``target`` are sums over its sources, each counted as in step 2.  Null or
@@ -160,9 +163,28 @@ def mix_sources(
     cut = inside.withColumn("upto", upto).where("upto - n / 2 <= rest").groupBy("pattern").agg(F.max("h").alias("cut"))
     floor_ = edge.select("pattern", (F.shiftleft("prefix", 63 - LEVELS * BITS) - 1).alias("low"))
     cut = floor_.join(cut, "pattern", "left").select("pattern", F.coalesce("cut", "low").alias("cut"))
-    table = scratch.table(quota.join(cut, "pattern", "left"), "choice")
-    copies = F.when(F.col("__size") > 0, F.col("__c.base") + F.coalesce(F.col("__h") <= F.col("__c.cut"), F.lit(False)).cast("int")).otherwise(0)
-    choice = F.broadcast(table.select("pattern", F.struct("base", "cut", "source_size", "target").alias("__c")))
+    table = scratch.table(quota.join(cut, "pattern", "left"), "threshold")
+    # Single documents whose size is nearest to what is missing or too much.
+    below = F.coalesce(F.col("h") <= F.col("cut"), F.lit(False))
+    got = some.join(F.broadcast(table), "pattern").where("rest > 0").groupBy("pattern").agg(F.sum(F.when(below, F.col("size")).otherwise(0)).alias("got"))
+    table = table.join(got, "pattern", "left").withColumn("missing", F.coalesce(F.col("rest") - F.col("got"), F.lit(0.0)))
+    table = scratch.table(table.select("*", *[F.expr("CAST(array() AS array<bigint>)").alias(c) for c in ("added", "dropped")]), "step-0")
+    off = F.abs(F.abs("missing") - F.col("size"))
+    fits = (below == (F.col("missing") < 0)) & (off < F.abs("missing")) & ~F.array_contains("added", F.col("h")) & ~F.array_contains("dropped", F.col("h"))
+    for i in range(1, SWAPS + 1):
+        swap = some.join(F.broadcast(table), "pattern").where(fits).groupBy("pattern").agg(F.min(F.struct(off.alias("off"), "h", "size")).alias("x"))
+        add = F.col("x").isNotNull() & (F.col("missing") > 0)
+        drop = F.col("x").isNotNull() & (F.col("missing") < 0)
+        table = table.join(swap, "pattern", "left").select(
+            *[c for c in table.columns if c not in ("missing", "added", "dropped")],
+            F.when(add, F.array_append("added", F.col("x.h"))).otherwise(F.col("added")).alias("added"),
+            F.when(drop, F.array_append("dropped", F.col("x.h"))).otherwise(F.col("dropped")).alias("dropped"),
+            F.when(add, F.col("missing") - F.col("x.size")).when(drop, F.col("missing") + F.col("x.size")).otherwise(F.col("missing")).alias("missing"),
+        )
+        table = scratch.table(table, f"step-{i}")
+    chosen = (F.coalesce(F.col("__h") <= F.col("__c.cut"), F.lit(False)) | F.array_contains("__c.added", F.col("__h"))) & ~F.array_contains("__c.dropped", F.col("__h"))
+    copies = F.when(F.col("__size") > 0, F.col("__c.base") + chosen.cast("int")).otherwise(0)
+    choice = F.broadcast(table.select("pattern", F.struct("base", "cut", "added", "dropped", "source_size", "target").alias("__c")))
     own = docs.withColumn("__p", member).withColumn("__h", h).withColumn("__size", size)
     keys = [F.transform("__p", lambda x: F.coalesce(x, F.lit("\0null"))), F.transform("pattern", lambda x: F.coalesce(x, F.lit("\0null")))]
     out = own.join(choice, keys[0] == keys[1], "left")
