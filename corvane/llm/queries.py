@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from corvane.llm.contamination import find_contamination
 from corvane.llm.exact_dedup import exact_duplicates
+from corvane.llm.language_id import held_out, predict, train
 from corvane.llm.mixing import mix_sources
 from corvane.llm.near_dedup import near_duplicates
 from corvane.llm.sharding import shard_documents
 from corvane.llm.substring_dedup import remove_repeated_windows
+from corvane.llm.token_counts import count_tokens
 from corvane.llm.token_output import tokenised
 from corvane.llm.url_filter import judge_urls
 
@@ -43,6 +45,19 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs.select("doc_id", "text", "lang"), max_train_docs=20_000)
+    out = predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13, share=20)
     return out.select(
@@ -76,6 +91,8 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_url_filter": op2_url_filter,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_language_id": op4_language_id,
+    "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_near_duplicates": op8_near_duplicates,
