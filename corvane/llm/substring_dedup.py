@@ -27,8 +27,8 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - width)], x[w - width :]) if w > width else x
 
 
-def smallest_owner(block: Block, at: np.ndarray, h: np.ndarray, owner: np.ndarray, k: int) -> np.ndarray:
-    """For each window, the smallest owner of an equal window of the block.
+def smallest_owner(text: bytes, s: np.ndarray, e: np.ndarray, h: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each window ``text[s:e]`` with hash ``h``, the smallest owner of an equal window.
 
     Sorting by hash brings equal windows together; neighbours are then compared byte
     by byte.  A run whose hashes agree but whose bytes differ is grouped by its bytes.
@@ -40,10 +40,9 @@ def smallest_owner(block: Block, at: np.ndarray, h: np.ndarray, owner: np.ndarra
     low = owner.copy()
     if not len(second):
         return low
-    s, e = block.start[at], block.end[at + k - 1]
     a, b = order[second - 1], order[second]
     equal = (e[a] - s[a]) == (e[b] - s[b])
-    equal[equal] = spans_equal(block.buf, s[a[equal]], s[b[equal]], (e - s)[a[equal]])
+    equal[equal] = spans_equal(np.frombuffer(text, np.uint8), s[a[equal]], s[b[equal]], (e - s)[a[equal]])
     run = np.cumsum(~same)  # number of the run of each sorted place
     head = np.flatnonzero(~same)
     low[order] = owner[order[head[run - 1]]]  # owners ascend within a run
@@ -51,10 +50,10 @@ def smallest_owner(block: Block, at: np.ndarray, h: np.ndarray, owner: np.ndarra
         best: dict[bytes, int] = {}
         members = order[run == r]
         for i in members:
-            text = block.text[s[i] : e[i]]
-            best[text] = min(best.get(text, LAST), int(owner[i]))
+            w = text[s[i] : e[i]]
+            best[w] = min(best.get(w, LAST), int(owner[i]))
         for i in members:
-            low[i] = best[block.text[s[i] : e[i]]]
+            low[i] = best[text[s[i] : e[i]]]
     return low
 
 
@@ -86,7 +85,7 @@ def _scan(n_buckets: int, k: int, flush_docs_bytes: int):
         if not len(at):
             return
         own = owner[block.doc[at]]
-        low = smallest_owner(block, at, h, own, k)
+        low = smallest_owner(block.text, block.start[at], block.end[at + k - 1], h, own)
         live = low == own
         # repeats inside the same document: one occurrence travels, and no removal follows from them here
         word0 = at - block.first[block.doc[at]]
@@ -144,27 +143,34 @@ def _count(k: int):
     """Bucket side: all super-k-mers of a bucket; sorting their windows tells each window's smallest document."""
 
     def settle(packets: list[bytes]) -> pa.RecordBatch:
-        heads, texts = [], []
+        # Of each packet only its text and a few numbers for each window stay in memory.
+        texts, cols, ranges, base = [], [], [], 0
         for p in packets:
-            h, body = _unpack(p)
-            heads.append(h)
-            if body:
-                texts.append(body)
-        head = np.concatenate(heads)
-        sent, ranges = head[head[:, 3] > 0], [head[head[:, 3] < 0] * (1, 1, 1, -1)]
-        if len(sent):
-            block = Block(b"\n".join(texts).split(b"\n"))
-            at, h = block.windows(block.word_hashes(), k)
-            doc = block.doc[at]
-            own = sent[doc, 0]
-            low = smallest_owner(block, at, h, own, k)
-            gone = np.flatnonzero(low < own)
+            head, body = _unpack(p)
+            done = head[head[:, 3] < 0]
+            if len(done):
+                ranges.append(done * (1, 1, 1, -1))
+            sent = head[head[:, 3] > 0]
+            if len(sent):
+                block = Block(body.split(b"\n"))
+                at, h = block.windows(block.word_hashes(), k)
+                doc = block.doc[at]
+                place = sent[doc, 2] + at - block.first[doc]
+                cols.append((block.start[at] + base, block.end[at + k - 1] + base, h, sent[doc, 0], sent[doc, 1], place))
+                texts.append(block.text)
+                base += len(block.text)
+        if cols:
+            s, e, h, own, key, place = (np.concatenate(c) for c in zip(*cols, strict=True))
+            cols.clear()
+            gone = np.flatnonzero(smallest_owner(b"".join(texts), s, e, h, own) < own)
             if len(gone):
-                brk = np.concatenate(([True], (np.diff(gone) > 1) | (np.diff(doc[gone]) != 0)))
+                own, key, place = own[gone], key[gone], place[gone]
+                brk = np.ones(len(gone), bool)
+                brk[1:] = (np.diff(gone) > 1) | (np.diff(place) != 1) | (own[1:] != own[:-1]) | (key[1:] != key[:-1])
                 f, e = _runs(brk, len(gone))
-                first, last = gone[f], gone[e - 1]
-                base = sent[doc[first], 2] - block.first[doc[first]]
-                ranges.append(np.stack([own[first], sent[doc[first], 1], base + at[first], base + at[last] + 1], axis=1))
+                ranges.append(np.stack([own[f], key[f], place[f], place[e - 1] + 1], axis=1))
+        if not ranges:
+            ranges.append(np.zeros((0, 4), np.int64))
         out = np.concatenate(ranges)
         # one row for each document: its ranges of window starts
         out = out[np.lexsort((out[:, 2], out[:, 1], out[:, 0]))]
@@ -221,7 +227,7 @@ def _cut(k: int):
     return run
 
 
-def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, buckets: int | None = None, block_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, buckets: int | None = None, block_bytes: int = 4 << 20) -> DataFrame:
     """``(doc_id, kept_text, n_words, n_removed)`` for each row of ``docs(doc_id, text)``.
 
     A word goes if a window of ``window`` words covers it that also starts in a document
