@@ -28,15 +28,17 @@ def connected_components(links: DataFrame, scratch: Scratch, label: str) -> Data
     while True:
         both = e.where("u <> v").select("u", "v").union(e.where("u <> v").select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+        low = scratch.table(low, f"{label}-low-{step}")  # as a table: a join of two plain exchanges can be split where it is hot
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = large.union(e.where("u = v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        large = scratch.table(large.union(e.where("u = v")).distinct(), f"{label}-large-{step}")
+        low = scratch.table(large.groupBy("u").agg(F.min("v").alias("low")), f"{label}-small-{step}")
         small = large.join(low, "u").select(
             F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("x")
         )
         step += 1
         e2 = scratch.table(small.select("x.u", "x.v").distinct(), f"{label}-{step}")
-        scratch.drop(f"{label}-{step - 1}")
+        for name in ("", "low-", "large-", "small-"):
+            scratch.drop(f"{label}-{name}{step - 1}")
         e, now = e2, _fingerprint(e2)
         if now == seen:
             return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp"))

@@ -236,6 +236,7 @@ def near_duplicates(
     classes = scratch.table(classes, "classes")
     keys = classes.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
+    shared = scratch.table(shared, "keys")  # as a table, so that the join below can be split at a hot key
     stars = keys.join(shared, "key").where("node > low").select(F.col("node").alias("u"), F.col("low").alias("v"))
     member = scratch.table(connected_components(stars, scratch, "candidates"), "members")
 
@@ -255,6 +256,7 @@ def near_duplicates(
         .groupBy("comp", "x.level")
         .agg(*[F.coalesce(F.max(F.when(F.col("x.d") == d, F.col("x.subs"))), F.lit(0)).alias(f"subs{i}") for i, d in enumerate((-1, 0, 1))])
     )
+    around = scratch.table(around, "around")
     blocked = sized.join(plan.select("comp", "level", "small"), ["comp", "level"]).join(around, ["comp", "level"], "left")
     sub = F.expr("CAST(pmod(xxhash64(node), greatest(subs1, 1)) AS INT)")
     blocked = blocked.withColumn("sub", sub).selectExpr(
