@@ -6,7 +6,7 @@ import bisect
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +22,9 @@ MAGIC = b"CVSSTB01"
 BLOCK = 64 << 10
 END = 0
 #: Words whose ids are remembered in a worker.
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
+#: ASCII punctuation that ends words; a run of it behind letters is a pre-token of its own.
+TAIL = ".,;:!?"
 
 
 class Encoder:
@@ -58,24 +60,46 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
         self.alphabet = {b: 256 + i for i, b in enumerate(others)}
+        self.space = chr(self.alphabet[32])
+        self.tails: dict[str, bytes] = {}
         self.joined = self.alphabet | {10: 32}  # words hold no newline: it parts pre-tokens
         self.opens = np.zeros(self.whole.get_vocab_size(), bool)
-        self.opens[[i for t, i in self.whole.get_vocab().items() if t.startswith(chr(self.alphabet[32]))]] = True
+        self.opens[[i for t, i in self.whole.get_vocab().items() if t.startswith(self.space)]] = True
         if len(self.newline) != 1:
             raise ValueError("not a byte-level tokenizer")
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str], known: dict[str, bytes], before: str) -> None:
-        for w in [w for w in words if max(w) > self.SAFE]:
-            known[w] = self._ids(before + w)
-        words = [w for w in words if w not in known]
+    def _learn(self, words: Iterable[str], known: dict[str, bytes], before: str) -> None:
+        plain, tailed = [], []
+        for w in words:
+            if max(w) > self.SAFE:
+                known[w] = self._ids(before + w)
+            elif (base := w.rstrip(TAIL)) != w and base.isalpha():  # letters, then punctuation: two pre-tokens
+                tailed.append((w, base))
+            else:
+                plain.append(w)
+        plain += {b for _, b in tailed if b not in known}.difference(plain)
+        # words of one kind together, since ASCII needs no translation
+        self._learn_plain([w for w in plain if w.isascii()], known, before)
+        self._learn_plain([w for w in plain if not w.isascii()], known, before)
+        for w, base in tailed:
+            tail = w[len(base) :]
+            if tail not in self.tails:
+                self.tails[tail] = self._ids("a" + tail)[len(self._ids("a")) :]
+            known[w] = known[base] + self.tails[tail]
+
+    def _learn_plain(self, words: list[str], known: dict[str, bytes], before: str) -> None:
         for lo in range(0, len(words), 500):
             part = words[lo : lo + 500]
             if before:  # each word's first id is the one that starts with a space
                 tokens = self.find(" " + " ".join(part))
-                mapped = "\n".join(tokens).encode().decode("latin-1").translate(self.joined)
+                mapped = "\n".join(tokens)  # no word holds a newline
+                if mapped.isascii() and all(map(str.isprintable, part)):
+                    mapped = mapped.replace(" ", self.space).replace("\n", " ")
+                else:
+                    mapped = mapped.encode().decode("latin-1").translate(self.joined)
                 ids = np.array(self.bpe.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
                 start = np.flatnonzero(self.opens[ids])
                 end = np.append(start[1:], len(ids))
@@ -99,20 +123,20 @@ class Encoder:
             self.spaced.clear()
             self.bare.clear()
         lines: list[list[list[str]] | None] = []
-        behind: dict[str, None] = {}
-        first: dict[str, None] = {}
+        behind: set[str] = set()
+        first: set[str] = set()
         for t in texts:
             if t and t.replace("\n", " ").split(" ") == t.split():  # lone separators only
                 rows = [x.split(" ") for x in t.split("\n")]
                 for row in rows:
-                    first[row[0]] = None
-                    behind.update(dict.fromkeys(row[1:]))
+                    first.add(row[0])
+                    behind.update(row[1:])
                 lines.append(rows)
             else:
                 lines.append(None)
         spaced, bare = self.spaced, self.bare
-        self._learn([w for w in behind if w not in spaced], spaced, " ")
-        self._learn([w for w in first if w not in bare], bare, "")
+        self._learn(behind.difference(spaced), spaced, " ")
+        self._learn(first.difference(bare), bare, "")
         get = spaced.__getitem__
         out = []
         for t, rows in zip(texts, lines, strict=True):
