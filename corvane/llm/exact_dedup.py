@@ -20,10 +20,11 @@ def directory(keys: DataFrame, capacity: int, max_depth: int) -> DataFrame:
     slot = F.shiftrightunsigned("h", 64 - max_depth).cast("int")
     count = keys.groupBy(slot.alias("slot"), "h").agg(F.lit(1).alias("x")).groupBy("slot").agg(F.count("*").alias("n"))
     levels = count.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth - 1))).alias("d"))
+    # at most 2 ** max_depth prefixes are overfull, so they are broadcast
     prefix = F.expr(f"shiftright(slot, {max_depth} - d)")
     levels = levels.withColumn("p", prefix)
     over = levels.groupBy("d", "p").agg(F.sum("n").alias("n")).where(F.col("n") > capacity).select("d", "p", F.lit(1).alias("over"))
-    depth = levels.join(over, ["d", "p"], "left").groupBy("slot").agg(F.count("over").cast("int").alias("depth"))
+    depth = levels.join(F.broadcast(over), ["d", "p"], "left").groupBy("slot").agg(F.count("over").cast("int").alias("depth"))
     # a bucket is named by its prefix behind a leading 1, so that names of different depths differ
     return depth.withColumn("bucket", F.expr(f"shiftleft(1, depth) + shiftright(slot, {max_depth} - depth)"))
 
