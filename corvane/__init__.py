@@ -1,0 +1 @@
+"""Document indexing and hybrid retrieval on Spark DataFrames."""
