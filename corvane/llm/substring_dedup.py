@@ -242,14 +242,14 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, buckets: int
     batch.  A bucket sorts its windows, compares neighbours byte by byte and returns
     ranges of removable windows, which are joined to the texts.
 
-    ``buckets``: default one for each shuffle partition; a bucket is what one task holds at a
+    ``buckets``: default four for each shuffle partition; a bucket is what one task holds at a
     time, so the number of shuffle partitions should follow the input's size.  Null texts and texts without words: no words, empty ``kept_text``.  Null
     doc_ids come after all others and are equal to each other.  Repeated rows, and rows
     that share a doc_id, don't remove each other's words.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    n = buckets or parts
+    n = buckets or 4 * parts
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     text = F.col("text").cast("string")
     key = F.coalesce(F.xxhash64(text), F.lit(0))
