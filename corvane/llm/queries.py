@@ -14,6 +14,7 @@ from corvane.llm.exact_dedup import exact_duplicates
 from corvane.llm.language_id import held_out, predict, train
 from corvane.llm.mixing import mix_sources
 from corvane.llm.near_dedup import near_duplicates
+from corvane.llm.oracles import ORACLE_SQL
 from corvane.llm.sharding import shard_documents
 from corvane.llm.substring_dedup import remove_repeated_windows
 from corvane.llm.token_counts import count_tokens
@@ -87,6 +88,8 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+__all__ = ["ORACLE_SQL", "QUERIES", "byte_bpe"]
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_url_filter": op2_url_filter,
@@ -99,4 +102,3 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_token_output": op10_token_output,
 }
-ORACLE_SQL: dict[str, str] = {}
