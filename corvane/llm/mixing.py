@@ -184,9 +184,9 @@ def mix_sources(
         table = scratch.table(table, f"step-{i}")
     chosen = (F.coalesce(F.col("__h") <= F.col("__c.cut"), F.lit(False)) | F.array_contains("__c.added", F.col("__h"))) & ~F.array_contains("__c.dropped", F.col("__h"))
     copies = F.when(F.col("__size") > 0, F.col("__c.base") + chosen.cast("int")).otherwise(0)
-    choice = F.broadcast(table.select("pattern", F.struct("base", "cut", "added", "dropped", "source_size", "target").alias("__c")))
+    choice = F.broadcast(table.select(F.col("pattern").alias("__q"), F.struct("base", "cut", "added", "dropped", "source_size", "target").alias("__c")))
     own = docs.withColumn("__p", member).withColumn("__h", h).withColumn("__size", size)
-    keys = [F.transform("__p", lambda x: F.coalesce(x, F.lit("\0null"))), F.transform("pattern", lambda x: F.coalesce(x, F.lit("\0null")))]
+    keys = [F.transform("__p", lambda x: F.coalesce(x, F.lit("\0null"))), F.transform("__q", lambda x: F.coalesce(x, F.lit("\0null")))]
     out = own.join(choice, keys[0] == keys[1], "left")
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
     return out.select(

@@ -272,10 +272,12 @@ def near_duplicates(
     dealt = texts.where("text IS NOT NULL").select("x.task", "x.side", "node", "text")
     dealt = dealt.repartition(shuffle_partitions(spark), "task").sortWithinPartitions("task")
     links = dealt.mapInArrow(_verify(percent, shingle), "u long, v long")
-    found = scratch.table(connected_components(links, scratch, "links"), "found")
-
-    named = classes.select("hi", "lo", "node").join(found, "node", "left").select("hi", "lo", F.coalesce("comp", "node").alias("comp"))
-    joined = done.drop("bands").join(named, ["hi", "lo"], "left")
-    comp = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
-    comp = F.when(F.col("doc_id").isNotNull(), comp)
+    # Rows of one doc_id with different texts are one document: their classes are linked too.
+    named = scratch.table(done.drop("bands").join(classes.select("hi", "lo", "node"), ["hi", "lo"], "left").drop("hi", "lo"), "rows")
+    several = named.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    shared_ids = named.join(several, "doc_id").where("node > low").select(F.col("node").alias("u"), F.col("low").alias("v"))
+    found = scratch.table(connected_components(links.union(shared_ids), scratch, "links"), "found")
+
+    joined = named.join(found, "node", "left")
+    comp = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("comp", "node")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
