@@ -46,17 +46,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
     Vectors that are null or of another length are left out.
     """
     asked = queries.select("qid", "q").collect()
-    blocks = [asked[i : i + MAX_QUERIES] for i in range(0, len(asked), MAX_QUERIES)] or [[]]
     spark, out = vectors.sparkSession, None
+    if not asked:
+        return spark.createDataFrame([], "qid long, id long, distance double, rank int")
+    blocks = [asked[i : i + MAX_QUERIES] for i in range(0, len(asked), MAX_QUERIES)]
     for block in blocks:
         ids = [r["qid"] for r in block]
-        q = np.array([r["q"] for r in block], np.float64).reshape(len(block), -1)
+        q = np.array([r["q"] for r in block], np.float64)
         shared = spark.sparkContext.broadcast((ids, q))
 
         def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
             for pdf in batches:
-                pdf = pdf[[v is not None and len(v) == q.shape[1] for v in pdf["v"]]] if len(q) else pdf[:0]
+                pdf = pdf[[v is not None and len(v) == q.shape[1] for v in pdf["v"]]]
                 if not len(pdf):
                     continue
                 v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
