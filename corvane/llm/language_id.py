@@ -119,7 +119,7 @@ def train(
     if labels:
         share = F.create_map(*[F.lit(x) for k in labels for x in (k, min(1.0, max_train_docs / n[k]))])
         place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
-        sample = rows.where("text IS NOT NULL").where(place < F.element_at(share, F.col("label"))).select("label", "text").coalesce(16)
+        sample = rows.where("text IS NOT NULL").where(place < F.element_at(share, F.col("label"))).select("label", "text")
         sums = sample.mapInArrow(_count(buckets, orders), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
         by_label = sums.groupBy("label").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("c"))  # max_labels rows of `buckets` numbers
         for r in by_label.collect():
