@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from corvane.config import Settings
 from corvane.operators.bm25 import Index, query_terms, score, top_k
+from corvane.operators.embedding import Embedder
 from corvane.operators.fusion import fuse
+from corvane.operators.vectors import nearest, similarity
 from corvane.plans.loop import ChatModel, StubModel, answer_question
 from corvane.plans.sync import CHUNKS, sync
 from corvane.sources.files import scan_folder
@@ -44,10 +46,10 @@ class Status:
 class Engine:
     """An index in ``root`` (any folder Spark can write to)."""
 
-    def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings(), model: ChatModel | None = None, embed=None):  # noqa: B008
+    def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings(), model: ChatModel | None = None, embedder: Embedder | None = None):  # noqa: B008
         self.spark, self.settings, self.store = spark, settings, Store(spark, root)
         self.model = model or StubModel()
-        self.embed = embed  # optional: (DataFrame chunks, query) -> ranked list (qid, id, score)
+        self.embedder = embedder
 
     def search(self, query: str, k: int | None = None, exclude: DataFrame | None = None) -> DataFrame:
         """``(rank, chunk_id, source, content, position_start, position_end, metadata, score)``; raises on a bad k."""
@@ -61,8 +63,10 @@ class Engine:
         index = Index.load(self.spark, f"{self.store.root}/{meta['snapshot']}")
         asked = query_terms(self.spark.createDataFrame([(0, query)], "qid long, text string"))
         lists = [score(index, asked)]
-        if self.embed is not None:
-            lists.append(self.embed(chunks, query))
+        if self.embedder is not None:
+            q = self.spark.createDataFrame([(0, self.embedder([query])[0])], "qid long, q array<double>")
+            near = nearest(chunks.where("embedding IS NOT NULL"), q, self.settings.oversample * k, id_="chunk_id")
+            lists.append(near.select("qid", "id", similarity("distance").alias("score")))
         ranked = top_k(fuse(lists, self.settings.rrf_k), k, exclude=exclude)
         best = ranked.select("rank", F.col("id").alias("chunk_id"), "score")
         return chunks.join(F.broadcast(best), "chunk_id").select("rank", "chunk_id", "source", "content", "position_start", "position_end", "metadata", "score")  # k rows
@@ -70,7 +74,7 @@ class Engine:
     def index_folder(self, path: str, glob_pattern: str = "*") -> Indexed:
         try:
             files = scan_folder(self.spark, path, glob_pattern, self.settings.extensions)
-            done = sync(self.store, files, path, glob_pattern, self.settings)
+            done = sync(self.store, files, path, glob_pattern, self.settings, self.embedder)
             return Indexed(done.indexed + done.unchanged, done.total_chunks, f"{done.indexed} files indexed, {done.unchanged} unchanged, {done.removed} removed")
         except Exception as e:  # noqa: BLE001
             log.exception("indexing failed")

@@ -47,8 +47,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
     """
     asked = queries.select("qid", "q").collect()
     spark, out = vectors.sparkSession, None
+    kind = vectors.schema[id_].dataType.simpleString()
     if not asked:
-        return spark.createDataFrame([], "qid long, id long, distance double, rank int")
+        return spark.createDataFrame([], f"qid long, id {kind}, distance double, rank int")
     blocks = [asked[i : i + MAX_QUERIES] for i in range(0, len(asked), MAX_QUERIES)]
     for block in blocks:
         ids = [r["qid"] for r in block]
@@ -77,8 +78,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
                     at = at[~np.isnan(row[at])]
                     yield pd.DataFrame({"qid": ids[i], "id": own[at], "distance": row[at]})
 
-        rows = vectors.select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v"))
-        found = rows.mapInPandas(best, "qid long, id long, distance double")
+        rows = vectors.select(F.col(id_).alias("id"), F.col(vector).alias("v"))
+        found = rows.mapInPandas(best, f"qid long, id {kind}, distance double")
         out = found if out is None else out.union(found)
     rank = F.expr("row_number() OVER (PARTITION BY qid ORDER BY distance, id)")
     return out.withColumn("rank", rank).where(F.col("rank") <= k)

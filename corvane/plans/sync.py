@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from corvane.config import Settings
 from corvane.functions.text import base_name, enriched, entity_id, glob_match, stem
 from corvane.operators.bm25 import build_index
+from corvane.operators.embedding import Embedder, embed
 from corvane.operators.structured import chunk_files
 from corvane.sources.snapshots import Store, delete, upsert
 
 CHUNKS = """chunk_id string, source string, chunk_index int, file_extension string, file_hash string, content string,
-    doc_text string, position_start long, position_end long, metadata map<string,string>"""
+    doc_text string, position_start long, position_end long, metadata map<string,string>, embedding array<float>"""
 MANIFEST = "rel string, file_hash string, n_chunks long"
 
 
@@ -58,12 +59,12 @@ class Synced:
     total_chunks: int
 
 
-def sync(store: Store, files: DataFrame, folder: str, glob: str = "*", settings: Settings = Settings()) -> Synced:  # noqa: B008
+def sync(store: Store, files: DataFrame, folder: str, glob: str = "*", settings: Settings = Settings(), embedder: Embedder | None = None) -> Synced:  # noqa: B008
     """Bring the index to the state of ``files``; only new and changed files are chunked.
 
     Another folder than the live version's starts from nothing.  Files outside ``glob`` are left as they are.  All chunks
     of a changed file are replaced; removed files leave chunks and manifest.  Postings are derived from the new
-    chunks in the same version, so they are never stale.  The pointer is written last.
+    chunks in the same version, so they are never stale.  ``embedder`` fills the chunks' vectors.  The pointer is written last.
     """
     meta = store.meta()
     same = meta is not None and meta["source_folder"] == folder
@@ -77,6 +78,7 @@ def sync(store: Store, files: DataFrame, folder: str, glob: str = "*", settings:
     if not same or counts.keys() - {"unchanged"}:
         todo = files.join(changed.select("rel"), "rel", "left_semi")
         fresh = index_chunks(todo, settings)
+        fresh = embed(fresh, "doc_text", embedder) if embedder else fresh.withColumn("embedding", F.lit(None).cast("array<float>"))
         touched = changed.select(F.col("rel").alias("source")).union(gone.select("rel"))
         kept = delete(chunks, touched, "source")
         n = fresh.groupBy(F.col("source").alias("rel")).agg(F.count("*").alias("n_chunks"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.api import Engine
 from corvane.config import Settings
 from corvane.operators import bm25, vectors
+from corvane.operators.embedding import HashedWords
 from corvane.operators.fusion import fuse
 from corvane.operators.intervals import merge_chunks
 from corvane.operators.running import earlier_sum
@@ -116,12 +117,12 @@ def test_facade_end_to_end(spark, tmp_path):
     (folder / "script.py").write_text("def main():\n    print('x')\n\nif __name__ == '__main__':\n    main()\n")
     (folder / "bad.txt").write_bytes(b"caf\xff bytes zeppelin")
     (folder / "skip.bin").write_bytes(b"x")
-    engine = Engine(spark, f"file://{tmp_path}/index")
+    engine = Engine(spark, f"file://{tmp_path}/index", embedder=HashedWords(64))
     assert engine.index_status().is_indexed is False and engine.find_relevant_docs("x") == []
     done = engine.index_folder(str(folder))
     assert done.indexed_count == 5 and done.total_chunks > 5
     best = engine.find_relevant_docs("zeppelin", 2)
-    assert len(best) == 2 and {r["source"] for r in best} <= {"introduction.md", "bad.txt"}
+    assert len(best) == 2 and best[0]["source"] in {"introduction.md", "bad.txt"}
     assert engine.ask_question("zeppelin manual").sources
     assert "5 unchanged" in engine.index_folder(str(folder)).message
     (folder / "python_basics.txt").write_text("shorter")
