@@ -74,9 +74,9 @@ class Encoder:
     def _learn(self, words: Iterable[str], known: dict[str, bytes], before: str) -> None:
         plain, tailed = [], []
         for w in words:
-            if max(w) > self.SAFE:
+            if not w.isascii() and max(w) > self.SAFE:
                 known[w] = self._ids(before + w)
-            elif (base := w.rstrip(TAIL)) != w and base.isalpha():  # letters, then punctuation: two pre-tokens
+            elif w[-1] in TAIL and (base := w.rstrip(TAIL)).isalpha():  # letters, then punctuation: two pre-tokens
                 tailed.append((w, base))
             else:
                 plain.append(w)
@@ -126,8 +126,8 @@ class Encoder:
         behind: set[str] = set()
         first: set[str] = set()
         for t in texts:
-            if t and t.replace("\n", " ").split(" ") == t.split():  # lone separators only
-                rows = [x.split(" ") for x in t.split("\n")]
+            rows = [x.split(" ") for x in t.split("\n")]
+            if t and [w for r in rows for w in r] == t.split():  # lone separators only
                 for row in rows:
                     first.add(row[0])
                     behind.update(row[1:])
