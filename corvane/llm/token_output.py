@@ -348,7 +348,11 @@ def _write(root: str, tokenizer: str, end: int, block: int):
         if writer is not None:
             writer.close()
             out.close()
-            system.move(part, final)  # a second attempt writes the same bytes to the same name
+            try:  # a second attempt writes the same bytes to the same name; not every store replaces on a move
+                system.move(part, final)
+            except OSError:
+                system.delete_file(final)
+                system.move(part, final)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([ctx.partitionId()], pa.int32()), pa.array([final]), pa.array([first], pa.int64()), pa.array([last], pa.int64()), pa.array([writer.n], pa.int64()), pa.array([writer.ids], pa.int64())],
                 ["shard", "file", "first_id", "last_id", "n_docs", "n_tokens"],
