@@ -63,14 +63,28 @@ def _runs(breaks: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(heads: np.ndarray, text: bytes) -> bytes:
-    raw = struct.pack("<I", len(heads)) + heads.astype("<i8").tobytes() + text
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+    """Compress a packet: (owner, key, first word, windows) of each string, column by column, and the strings.
+
+    Strings of one document follow each other, so owner and key are stored once a document.
+    """
+    new = np.ones(len(heads), bool)
+    new[1:] = (np.diff(heads[:, 0]) != 0) | (np.diff(heads[:, 1]) != 0)
+    owner, key = heads[new, 0], heads[new, 1]
+    columns = (np.diff(owner, prepend=np.int64(0)), key, new.astype(np.int8), heads[:, 2].astype("<i4"), heads[:, 3].astype("<i4"))
+    raw = b"".join([struct.pack("<II", len(heads), len(owner)), *[c.tobytes() for c in columns], text])
+    return zstandard.ZstdCompressor(level=6).compress(raw)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = struct.unpack_from("<I", raw)[0]
-    return np.frombuffer(raw, "<i8", n * 4, 4).reshape(n, 4), raw[4 + 32 * n :]
+    n, docs = struct.unpack_from("<II", raw)
+    at, columns = 8, []
+    for kind, size in (("<i8", docs), ("<i8", docs), ("i1", n), ("<i4", n), ("<i4", n)):
+        columns.append(np.frombuffer(raw, kind, size, at))
+        at += columns[-1].nbytes
+    delta, key, new, first, count = columns
+    doc = np.cumsum(new, dtype=np.int64) - 1
+    return np.stack([np.cumsum(delta)[doc], key[doc], first, count], axis=1) if n else np.zeros((0, 4), np.int64), raw[at:]
 
 
 def _scan(n_buckets: int, k: int, flush_docs_bytes: int):
