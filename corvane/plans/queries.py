@@ -331,6 +331,17 @@ def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", F.array_join(F.expr("transform(p, x -> x.part)"), "\n\n---\n\n").alias("context"))
 
 
+@query(None)
+def context_assembly_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`context_assembly` of all windows of each document; a short window gives way to its document, however long that is (P21)."""
+    chunks = _windows(spark, sf_dir).join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id")
+    chunks = chunks.join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole")), "doc_id")
+    body = F.expr("CASE WHEN length(content) <= 400 AND whole IS NOT NULL THEN whole ELSE content END")
+    head = F.concat(F.lit("[Source "), F.col("chunk_index") + 1, F.lit(": "), "doc_id", F.lit(" "), T.position_hint("position_start", "position_end"), F.lit("]\n"), body)
+    parts = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", head.alias("part")))).alias("p"))  # one document's windows
+    return parts.select("doc_id", F.array_join(F.expr("transform(p, x -> x.part)"), "\n\n---\n\n").alias("context"))
+
+
 @query("SELECT item_id, replace(replace('Q: {query} D: {document} {query}', '{query}', text), '{document}', CAST(item_id AS VARCHAR)) AS prompt FROM benchmark")
 def render_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").withColumn("id", F.col("item_id").cast("string"))
