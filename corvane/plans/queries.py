@@ -455,8 +455,9 @@ def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def graded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _windows(spark, sf_dir).where("chunk_index = 0").select(F.col("doc_id").cast("string").alias("source"), "content")
-    return grade(chunks, "the and question", StubModel()).select("source", "relevant", "score")
+    """Grades of all windows of all documents; windows are extended to the next one's start, so that no text is left out."""
+    chunks = window_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), gapless=True).select(F.col("doc_id").cast("string").alias("source"), "chunk_index", "content")
+    return grade(chunks, "the and question", StubModel()).select("source", "chunk_index", "relevant", "score")
 
 
 @query(None)
