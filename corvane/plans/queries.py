@@ -292,6 +292,12 @@ def merge_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_chunks(kept)
 
 
+@query(None)
+def merge_intervals_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`merge_intervals` of all windows of each document; gaps are those that word cuts leave."""
+    return merge_chunks(_windows(spark, sf_dir).select(F.col("doc_id").alias("source"), "position_start", "position_end", "content"))
+
+
 @query(f"""WITH {SQL_WINDOWS}, k AS (SELECT source || '::' || substr(content, 1, 200) AS key, doc_id, chunk_index FROM pieces),
 seen AS (SELECT DISTINCT key FROM k WHERE doc_id % 2 = 0)
 SELECT key, min(doc_id) AS first_doc, count(*) AS n FROM k WHERE doc_id % 2 = 1 AND key NOT IN (SELECT key FROM seen) GROUP BY key""")
