@@ -87,9 +87,18 @@ class Engine:
             log.exception("search failed")
             return []
 
+    def files(self) -> DataFrame | None:
+        """The indexed folder's files as they are now (answers show whole files); None if there is no such folder any more."""
+        meta = self.store.meta()
+        try:
+            return meta and scan_folder(self.spark, meta["source_folder"], extensions=self.settings.extensions).select("rel", "text")
+        except (FileNotFoundError, NotADirectoryError):
+            log.warning("%s is gone; answers show chunks", meta["source_folder"])
+            return None
+
     def ask_question(self, query: str) -> Answer:
         try:
-            state = answer_question(self.spark, query, self.search, self.model, settings=self.settings)
+            state = answer_question(self.spark, query, self.search, self.model, self.files(), self.settings)
             return Answer(state.answer, state.relevant)
         except Exception as e:  # noqa: BLE001
             log.exception("answering failed")

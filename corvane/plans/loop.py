@@ -83,8 +83,8 @@ def grade(chunks: DataFrame, question: str, model: Callable[[str], str]) -> Data
     return out.select(*chunks.columns, F.col("__g.relevant").alias("relevant"), F.col("__g.score").alias("score"))
 
 
-def context(rows: list[dict], files: dict[str, str], limit: int, cap: int = 200_000) -> str:
-    """Numbered sources; a chunk of ``limit`` characters at most gives way to its whole file (up to ``cap`` characters)."""
+def context(rows: list[dict], files: dict[str, str], limit: int, cap: int | None = None) -> str:
+    """Numbered sources; a chunk of ``limit`` characters at most gives way to its whole file (up to ``cap`` characters, if given)."""
     parts = []
     for i, r in enumerate(rows, 1):
         whole = files.get(r["source"])
