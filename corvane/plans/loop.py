@@ -59,21 +59,22 @@ def route(relevant: int, broadened: int, settings: Settings) -> str:
     return "broaden" if relevant < settings.min_relevant and broadened < settings.max_broaden else "answer"
 
 
-def grade(chunks: DataFrame, question: str, model: Callable[[str], str]) -> DataFrame:
+def grade(chunks: DataFrame, question: str | None, model: Callable[[str], str]) -> DataFrame:
     """``chunks(source, content, ...)`` with ``relevant, score``; the model runs in Arrow batches on the executors.
 
-    Blank contents are not relevant without asking the model; nor is a chunk for which the model fails.
+    Without a ``question``, each chunk has its own in a column of that name.  Blank contents are not relevant without asking the model; nor is a chunk for which the model fails.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             replies = []
-            for source, content in zip(pdf["source"], pdf["content"], strict=True):
+            questions = pdf["question"] if question is None else [question] * len(pdf)
+            for source, content, q in zip(pdf["source"], pdf["content"], questions, strict=True):
                 if not (content or "").strip():
                     replies.append("relevant: no")
                     continue
                 try:
-                    replies.append(model(GRADE.replace("{question}", question).replace("{document}", f"[Source: {source}]\n{content}")))
+                    replies.append(model(GRADE.replace("{question}", q).replace("{document}", f"[Source: {source}]\n{content}")))
                 except Exception:  # noqa: BLE001  whatever a model raises, the other chunks go on
                     replies.append("relevant: no")
             yield pdf.assign(reply=replies)
@@ -102,43 +103,60 @@ def answer_question(
     files: DataFrame | None = None,
     settings: Settings = Settings(),  # noqa: B008
 ) -> State:
-    """Run the loop.  ``search(query, k)`` gives ``source, content, position_start, position_end, score``.
+    """Run the loop.  ``search(query, k)`` gives ``source, content, position_start, position_end, score``."""
+    one = lambda asked: search(*asked[0]).withColumn("qid", F.lit(0).cast("long"))
+    return answer_questions(spark, {0: question}, one, model, files, settings)[0]
 
-    A pass retrieves, leaves out what earlier passes saw (by source and first 200 characters), merges neighbouring chunks,
-    grades them and adds the new relevant ones.  What a pass holds is bounded by ``top_k`` and the number of passes; so is what reaches the driver.
+
+def answer_questions(
+    spark: SparkSession,
+    questions: dict[int, str],
+    search: Callable[[dict[int, tuple[str, int]]], DataFrame],
+    model: ChatModel,
+    files: DataFrame | None = None,
+    settings: Settings = Settings(),  # noqa: B008
+) -> dict[int, State]:
+    """Run the loop for many questions side by side.  ``search({qid: (query, k)})`` gives ``qid, source, content, position_start, position_end, score``.
+
+    A pass retrieves, leaves out what earlier passes saw of a question (by source and first 200 characters), merges neighbouring chunks,
+    grades them and adds the new relevant ones.  What a pass holds of a question is bounded by ``top_k`` and the number of passes; so is what reaches the driver.
     """
-    state = State(question)
-    state.rewritten = model(REWRITE.replace("{question}", question))
-    seen: set[str] = set()
-    keys: set[str] = set()
-    while True:
-        state.retrievals += 1
-        found = search(state.search_query(), settings.top_k + len(seen)).withColumn("__key", dedup_key("source", "content"))
-        fresh = found.where(~F.col("__key").isin(*seen)) if seen else found
-        rows = fresh.collect()  # top_k rows and those seen at most
-        seen |= {r["__key"] for r in rows}
+    states = {i: State(q) for i, q in questions.items()}
+    for state in states.values():
+        state.rewritten = model(REWRITE.replace("{question}", state.query))
+    seen: dict[int, set[str]] = {i: set() for i in states}
+    keys: dict[int, set[str]] = {i: set() for i in states}
+    asking = list(states)
+    while asking:
+        found = search({i: (states[i].search_query(), settings.top_k + len(seen[i])) for i in asking}).withColumn("__key", dedup_key("source", "content"))
+        rows = [r for r in found.collect() if r["__key"] not in seen[r["qid"]]]  # top_k rows a question and those seen at most
+        for r in rows:
+            seen[r["qid"]].add(r["__key"])
         if rows:
-            batch = spark.createDataFrame([(r["source"], r["content"], r["position_start"], r["position_end"]) for r in rows], "source string, content string, position_start long, position_end long")
-            graded = grade(merge_chunks(batch), question, model).where("relevant").orderBy(F.col("score").desc(), "source", "position_start")
-            for r in graded.collect():
-                key = f"{r['source']}::{r['content'][:200]}"
-                if key not in keys:
-                    keys.add(key)
-                    state.relevant.append(r.asDict())
-        if route(len(state.relevant), state.broaden_count, settings) == "answer":
-            break
-        state.broaden_count += 1
-        if state.broaden_count < settings.max_broaden:
-            state.broadened = model(BROADEN.replace("{question}", question).replace("{query}", state.search_query()))
-    if not state.relevant:
-        state.answer = NOTHING
-        return state
+            batch = spark.createDataFrame([((r["qid"], r["source"]), r["content"], r["position_start"], r["position_end"]) for r in rows], "place struct<qid: long, source: string>, content string, position_start long, position_end long")
+            merged = merge_chunks(batch, "place").select("place.qid", "place.source", "position_start", "position_end", "joined_from", "content")
+            asked = spark.createDataFrame([(i, states[i].query) for i in asking], "qid long, question string")
+            graded = grade(merged.join(F.broadcast(asked), "qid"), None, model).where("relevant").orderBy("qid", F.col("score").desc(), "source", "position_start")
+            for r in graded.drop("question").collect():
+                i, key = r["qid"], f"{r['source']}::{r['content'][:200]}"
+                if key not in keys[i]:
+                    keys[i].add(key)
+                    states[i].relevant.append({k: v for k, v in r.asDict().items() if k != "qid"})
+        for i in asking:
+            states[i].retrievals += 1
+        asking = [i for i in asking if route(len(states[i].relevant), states[i].broaden_count, settings) == "broaden"]
+        for state in (states[i] for i in asking):
+            state.broaden_count += 1
+            if state.broaden_count < settings.max_broaden:
+                state.broadened = model(BROADEN.replace("{question}", state.query).replace("{query}", state.search_query()))
     texts = {}
     if files is not None:
-        wanted = files.where(F.col("rel").isin(*{r["source"] for r in state.relevant}))
+        wanted = files.where(F.col("rel").isin(*{r["source"] for s in states.values() for r in s.relevant}))
         texts = {r["rel"]: r["text"] for r in wanted.select("rel", "text").collect()}  # files of the relevant chunks
-    state.answer = model(ANSWER.replace("{question}", question).replace("{context}", context(state.relevant, texts, settings.answer_chunk_size)))
-    return state
+    for state in states.values():
+        prompt = ANSWER.replace("{question}", state.query).replace("{context}", context(state.relevant, texts, settings.answer_chunk_size))
+        state.answer = model(prompt) if state.relevant else NOTHING
+    return states
 
 
-__all__ = ["ChatModel", "State", "StubModel", "answer_question", "context", "grade", "position_hint", "route"]
+__all__ = ["ChatModel", "State", "StubModel", "answer_question", "answer_questions", "context", "grade", "position_hint", "route"]

@@ -17,7 +17,7 @@ from corvane.operators.running import earlier_sum
 from corvane.operators.structured import chunk_files
 from corvane.operators.windows import paragraph_chunks, window_chunks
 from corvane.plans import etl
-from corvane.plans.loop import StubModel, answer_question, grade
+from corvane.plans.loop import StubModel, answer_questions, grade
 from corvane.plans.sync import diff_manifest
 from corvane.sources.snapshots import delete, upsert
 
@@ -468,18 +468,18 @@ def graded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def corrective_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The loop with the stub model over the first benchmark item."""
-    docs = table(spark, sf_dir, "documents")
-    index = bm25.build_index(docs)
-    first = table(spark, sf_dir, "benchmark").orderBy("item_id").first()
-
-    def search(text: str, k: int) -> DataFrame:
-        asked = bm25.query_terms(spark.createDataFrame([(0, text)], "qid long, text string"))
-        best = bm25.top_k(bm25.score(index, asked), k).select(F.col("id").alias("doc_id"), "score")
-        return docs.join(F.broadcast(best), "doc_id").select(  # k rows
-            F.col("doc_id").cast("string").alias("source"), F.substring("text", 1, 500).alias("content"), F.lit(0).cast("long").alias("position_start"), F.least(F.lit(500), F.length("text")).cast("long").alias("position_end"), "score"
-        )
-
-    state = answer_question(spark, first["text"], search, StubModel())
-    rows = [(first["item_id"], state.retrievals, state.broaden_count, len(state.relevant), state.answer)]
+    """The loop with the stub model over all benchmark items; windows of the documents are searched, so the passage that matched is graded."""
+    windows = window_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), gapless=True)
+    windows = windows.select(F.struct("doc_id", "chunk_index").alias("place"), "position_start", "position_end", "content")
+    index = bm25.build_index(windows, "place", "content")
+    items = {r["item_id"]: r["text"] for r in table(spark, sf_dir, "benchmark").select("item_id", "text").collect()}
+
+    def search(asked: dict[int, tuple[str, int]]) -> DataFrame:
+        asks = spark.createDataFrame([(i, text, k) for i, (text, k) in asked.items()], "qid long, text string, k int")
+        best = bm25.top_k(bm25.score(index, bm25.query_terms(asks)), max(k for _, k in asked.values()))
+        best = best.join(F.broadcast(asks.select("qid", "k")), "qid").where("rank <= k").select("qid", F.col("id").alias("place"), "score")
+        return windows.join(F.broadcast(best), "place").select("qid", F.col("place.doc_id").cast("string").alias("source"), "content", "position_start", "position_end", "score")  # k rows a question
+
+    states = answer_questions(spark, items, search, StubModel())
+    rows = [(i, s.retrievals, s.broaden_count, len(s.relevant), s.answer) for i, s in states.items()]
     return spark.createDataFrame(rows, "item_id long, retrievals int, broadened int, relevant int, answer string")
