@@ -307,6 +307,13 @@ def chunk_dedup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delete(k.where("doc_id % 2 = 1"), seen, "key").groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
 
 
+@query(None)
+def chunk_dedup_key_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the windows of all documents: the first document with a key, and its windows; those behind the first (by document and place) repeat what was seen."""
+    k = _windows(spark, sf_dir).withColumn("key", T.dedup_key("source", "content"))
+    return k.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
+
+
 _REPLY = """CASE doc_id % 5 WHEN 0 THEN 'relevant: ' || CASE quality WHEN 1 THEN 'yes' ELSE 'no' END || chr(10) || 'score: 0.' || doc_id
     WHEN 1 THEN 'relevant: no' || chr(10) || 'score: ' || toxic WHEN 2 THEN 'score: high' WHEN 3 THEN 'relevant: NO ' ELSE 'unsure' END"""
 
