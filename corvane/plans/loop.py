@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.config import Settings
-from corvane.functions.text import dedup_key, parse_grade, position_hint
+from corvane.functions.text import dedup_key, parse_grade, position_hint, strip_html
 from corvane.operators.intervals import merge_chunks
 
 REWRITE = "Rewrite the question as a search query. Answer with the query alone.\n\nQuestion: {question}"
@@ -62,14 +62,14 @@ def route(relevant: int, broadened: int, settings: Settings) -> str:
 def grade(chunks: DataFrame, question: str | None, model: Callable[[str], str]) -> DataFrame:
     """``chunks(source, content, ...)`` with ``relevant, score``; the model runs in Arrow batches on the executors.
 
-    Without a ``question``, each chunk has its own in a column of that name.  Blank contents are not relevant without asking the model; nor is a chunk for which the model fails.
+    Without a ``question``, each chunk has its own in a column of that name.  The model sees the text of markup; blank texts are not relevant without asking the model; nor is a chunk for which the model fails.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             replies = []
             questions = pdf["question"] if question is None else [question] * len(pdf)
-            for source, content, q in zip(pdf["source"], pdf["content"], questions, strict=True):
+            for source, content, q in zip(pdf["source"], pdf["__text"], questions, strict=True):
                 if not (content or "").strip():
                     replies.append("relevant: no")
                     continue
@@ -77,10 +77,10 @@ def grade(chunks: DataFrame, question: str | None, model: Callable[[str], str])
                     replies.append(model(GRADE.replace("{question}", q).replace("{document}", f"[Source: {source}]\n{content}")))
                 except Exception:  # noqa: BLE001  whatever a model raises, the other chunks go on
                     replies.append("relevant: no")
-            yield pdf.assign(reply=replies)
+            yield pdf.drop(columns="__text").assign(reply=replies)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields)
-    out = chunks.mapInPandas(ask, f"{fields}, reply string").withColumn("__g", parse_grade("reply"))
+    out = chunks.withColumn("__text", strip_html("content")).mapInPandas(ask, f"{fields}, reply string").withColumn("__g", parse_grade("reply"))
     return out.select(*chunks.columns, F.col("__g.relevant").alias("relevant"), F.col("__g.score").alias("score"))
 
 
