@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.common import Scratch
-from corvane.llm.contamination import clean_documents
+from corvane.llm.contamination import cut_documents
 from corvane.llm.language_id import UNDETERMINED, predict, train
 from corvane.llm.mixing import mix_sources
 from corvane.llm.near_dedup import near_duplicates
@@ -34,9 +34,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover less than a twentieth."""
+    """Documents of which benchmark windows cover less than a twentieth, without those windows."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return clean_documents(docs, items).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return cut_documents(docs, items).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

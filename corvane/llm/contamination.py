@@ -127,3 +127,45 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, sha
     named = docs.withColumn("__text_key", text_key())
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
     return named.join(bad, same, "left_anti").drop("__text_key")
+
+
+def without_spans(text: str, spans: str) -> tuple[Column, Column]:
+    """What to name ``__parts`` (words with what stands before each), and the ``text`` without the parts in ``spans``, ranges of :func:`normal_words`."""
+    other = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # NOT_WORD before A-Z are lower-cased
+    parts = F.regexp_extract_all(F.col(text), F.lit(f"[{other}]*[^{other}]+"), F.lit(0))
+    kept = F.filter(F.col("__parts"), lambda x, i: ~F.exists(F.col(spans), lambda s: (s["first"] <= i) & (i < s["last"])))
+    tail = F.substr(F.col(text), F.aggregate("__parts", F.lit(1), lambda n, x: n + F.length(x)))
+    return parts, F.concat(F.array_join(kept, ""), tail)
+
+
+def cut_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
+    """:func:`clean_documents` with the hit spans of the documents that stay cut out of their text; ``n_chars`` follows, if there is one.
+
+    A cut brings words together that may form a window anew, so what was cut is searched again until nothing is found.
+    """
+    scratch = Scratch(docs.sparkSession, "cut")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+
+    def hits(df: DataFrame, name: str) -> DataFrame:
+        found = find_contamination(df, items, window, share).where("n_hit > 0").distinct()
+        found = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"), F.col("contaminated").alias("__bad"))
+        return scratch.table(found, name)
+
+    def met(df: DataFrame, found: DataFrame, how: str) -> DataFrame:
+        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
+        return df.withColumn("__text_key", text_key()).join(found, same, how)
+
+    found = hits(docs, "hits0")
+    out = met(docs, found, "left_anti").select(*columns)
+    part, n = met(docs, found.where("NOT __bad"), "inner"), 0
+    while True:
+        parts, text = without_spans("text", "__spans")
+        part = part.withColumn("__parts", parts).withColumn("text", text)
+        if "n_chars" in docs.columns:
+            part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        part, n = scratch.table(part.select(*columns), f"cut{n}"), n + 1
+        found = hits(part, f"hits{n}")
+        out = out.unionByName(met(part, found, "left_anti").select(*columns))
+        if found.isEmpty():
+            return out
+        part = met(part, found, "inner")
