@@ -1,18 +1,14 @@
-"""Stop words: the English and Russian lists that Spark ships for its StopWordsRemover."""
+"""Stop words: the English and Russian lists of Spark's StopWordsRemover, kept beside this module."""
 
 from __future__ import annotations
 
-import zipfile
 from functools import cache
 from pathlib import Path
 
 
 @cache
 def stop_words(languages: tuple[str, ...] = ("english", "russian")) -> tuple[str, ...]:
-    """Union of the lists, read from Spark's own jar, lower case, sorted."""
-    import pyspark
-
-    (jar,) = Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar")
-    with zipfile.ZipFile(jar) as z:
-        words = {w.strip().lower() for x in languages for w in z.read(f"org/apache/spark/ml/feature/stopwords/{x}.txt").decode().splitlines()}
-    return tuple(sorted(w for w in words if w))
+    """Union of the lists, lower case, sorted."""
+    folder = Path(__file__).parent / "words"
+    lines = [w.strip().lower() for x in languages for w in (folder / f"{x}.txt").read_text(encoding="utf-8").splitlines()]
+    return tuple(sorted({w for w in lines if w and not w.startswith("#")}))
