@@ -31,8 +31,14 @@ class Indexed:
 @dataclass(frozen=True)
 class Answer:
     answer: str
+    #: The relevant passages, best first.
     sources: list[dict] = field(default_factory=list)
 
+    @property
+    def source_files(self) -> list[str]:
+        """Their files, each once, in the same order."""
+        return list(dict.fromkeys(r["source"] for r in self.sources))
+
 
 @dataclass(frozen=True)
 class Status:
@@ -104,6 +110,15 @@ class Engine:
             log.exception("answering failed")
             return Answer(f"Error: {e}")
 
+    def get(self, chunk_id: str) -> dict | None:
+        """The chunk with this id; None if there is none."""
+        row = self.store.table("chunks", CHUNKS).where(F.col("chunk_id") == chunk_id).first()
+        return row and row.asDict()
+
+    def clear(self) -> None:
+        """Forget the index: chunks, manifest, postings and the pointer to them."""
+        self.store.clear()
+
     def index_status(self) -> Status:
         try:
             meta = self.store.meta()

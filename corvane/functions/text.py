@@ -14,6 +14,8 @@ from corvane.functions.stopwords import stop_words
 #: Entity words: letters, a hyphen, numbers joined by hyphens or en dashes.
 ENTITY_WORD = "^[a-z]+-[0-9]+([-–][0-9]+)*$"
 SPACE = r"(?U)\s+"
+#: What SPACE matches, spelt out: several times faster than a class that asks for Unicode properties.
+SPACES = r"[\t-\r\x{85}\x{20}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
 def quoted(value: str) -> str:
@@ -28,10 +30,11 @@ def tokens(text: str) -> Column:
     deleted later, such words count twice.  Null: null.
     """
     stops = ", ".join(quoted(w) for w in stop_words())
-    doubled = f"""flatten(transform(split(lower({text}), {quoted(SPACE)}),
-        w -> if(w rlike {quoted(ENTITY_WORD)}, array(w, regexp_replace(w, '[-–]', '')), array(w))))"""
-    bare = f"regexp_replace(translate(array_join({doubled}, ' '), {quoted(string.punctuation)}, ''), {quoted(SPACE)}, ' ')"
-    return F.expr(f"filter(split({bare}, ' '), t -> t <> '' AND t NOT IN ({stops}))")
+    doubled = f"""array_join(flatten(transform(split(lower({text}), {quoted(SPACES)}),
+        w -> if(w rlike {quoted(ENTITY_WORD)}, array(w, regexp_replace(w, '[-–]', '')), array(w)))), ' ')"""
+    # words are looked at one by one only in texts that hold a hyphen between a letter and a digit
+    once = f"CASE WHEN lower({text}) rlike '[a-z]-[0-9]' THEN {doubled} ELSE lower({text}) END"
+    return F.expr(f"filter(split(translate({once}, {quoted(string.punctuation)}, ''), {quoted(SPACES)}), t -> t <> '' AND t NOT IN ({stops}))")
 
 
 def entity_id(name: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import tokens
+from corvane.sources.scratch import Scratch, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query terms are broadcast up to this many rows; beyond, they are joined by a shuffle.
@@ -16,36 +17,57 @@ MAX_BROADCAST_TERMS = 1_000_000
 
 @dataclass(frozen=True)
 class Index:
-    """``postings(term, id, tf)``, ``lengths(id, dl)``, ``terms(term, df, idf)``, ``corpus(n, avgdl)`` (one row)."""
+    """``postings(term, id, tf, dl)``, ``lengths(id, dl)``, ``terms(term, df, idf)``, ``corpus(n, avgdl)`` (one row)."""
 
     postings: DataFrame
     lengths: DataFrame
     terms: DataFrame
     corpus: DataFrame
 
-    def save(self, folder: str) -> None:
-        for name in ("postings", "lengths", "terms", "corpus"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
-
     @classmethod
     def load(cls, spark, folder: str) -> Index:
         return cls(*[spark.read.parquet(f"{folder}/{n}") for n in ("postings", "lengths", "terms", "corpus")])
 
 
-def build_index(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> Index:
-    """Index of ``docs``; a document without tokens counts in n and in the mean length."""
-    words = docs.select(F.col(id_).alias("id"), F.coalesce(tokens(text), F.expr("CAST(array() AS array<string>)")).alias("w"))
-    lengths = words.select("id", F.size("w").cast("long").alias("dl"))
-    postings = words.select("id", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+def tokenised(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(id, w)``: the tokens of each document; null and empty texts have none."""
+    return docs.select(F.col(id_).alias("id"), F.coalesce(tokens(text), F.expr("CAST(array() AS array<string>)")).alias("w"))
+
+
+def postings_of(words: DataFrame) -> DataFrame:
+    """``(term, id, tf, dl)`` of :func:`tokenised` rows: a posting carries its document's length, so scoring joins nothing by document."""
+    # outer, since a plain explode makes Spark evaluate the tokens once more to leave out empty rows
+    flat = words.select("id", F.size("w").cast("long").alias("dl"), F.explode_outer("w").alias("term"))
+    return flat.where("term IS NOT NULL").groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
+
+
+def lengths_of(words: DataFrame) -> DataFrame:
+    return words.select("id", F.size("w").cast("long").alias("dl"))
+
+
+def index_of(postings: DataFrame, lengths: DataFrame) -> Index:
+    """Corpus statistics and term weights of postings, which should be a table, as they are read several times."""
+    n = lengths.agg(F.count("*").alias("n"))
+    corpus = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all")).crossJoin(F.broadcast(n))  # one row each
+    corpus = corpus.select("n", F.coalesce(F.try_divide(F.col("all").cast("double"), "n"), F.lit(0.0)).alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(corpus.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    raw = df.crossJoin(F.broadcast(n)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
     return Index(postings, lengths, terms, corpus)
 
 
+def build_index(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> Index:
+    """Index of ``docs``; a document without tokens counts in n and in the mean length.
+
+    Texts are tokenised once: postings go to the shared folder, and statistics and scores read them there.
+    """
+    docs = spread(docs.select(id_, text))
+    postings = Scratch(docs.sparkSession, "postings").table(postings_of(tokenised(docs, id_, text)), "postings")
+    return index_of(postings, lengths_of(tokenised(docs, id_, text)))
+
+
 def query_terms(queries: DataFrame, id_: str = "qid", text: str = "text") -> DataFrame:
     words = queries.select(F.col(id_).alias("qid"), F.explode(tokens(text)).alias("term"))
     return words.groupBy("qid", "term").agg(F.count("*").alias("qtf"))
@@ -59,7 +81,7 @@ def score(index: Index, queries: DataFrame, digits: int = 6) -> DataFrame:
     weighted = queries.join(index.terms, "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("w"))
     few = queries.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
     hits = index.postings.join(F.broadcast(weighted) if few else weighted, "term")
-    hits = hits.join(index.lengths, "id").crossJoin(F.broadcast(index.corpus.select("avgdl")))
+    hits = hits.crossJoin(F.broadcast(index.corpus.select("avgdl")))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.try_divide(F.col("dl"), F.col("avgdl"))))
     out = hits.groupBy("qid", "id").agg(F.round(F.sum(part), digits).alias("score"))
     return out.where("score > 0")

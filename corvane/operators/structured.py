@@ -83,25 +83,36 @@ def html_text(markup: str) -> str:
 
 
 HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t].*|)$")
+UNDERLINE = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 
 
 def markdown(text: str) -> list[Piece]:
     """A piece for each section, its nested sections included, and then one for each nested section.
 
-    Headings are lines of one to six ``#`` outside fenced code.  Text before the first heading is a section
+    Headings are lines of one to six ``#``, or paragraphs underlined by ``=`` or ``-``, outside fenced code.  Text before the first heading is a section
     without a label.  A blank text has none.
     """
-    marks, at, fence = [], 0, ""
+    marks, at, fence, para = [], 0, "", None  # para: where the paragraph began that the last line belongs to
     for line in text.splitlines(keepends=True):
         bare = line.rstrip("\r\n")
+        under = UNDERLINE.match(bare) if para is not None and not fence else None
         if m := FENCE.match(bare):
             if not fence:
                 fence = m[1]
             elif m[1][0] == fence[0] and len(m[1]) >= len(fence) and not bare.strip().strip(fence[0]):
                 fence = ""
+            para = None
         elif not fence and (m := HEADING.match(bare)):
             marks.append((len(m[1]), at, at + len(line), bare.strip()))
+            para = None
+        elif under:
+            marks.append((1 if under[1][0] == "=" else 2, para, at + len(line), text[para:at].strip()))
+            para = None
+        elif fence or not bare.strip() or bare.startswith(("    ", "\t", ">", "- ", "* ", "+ ", "|")):
+            para = None
+        elif para is None:
+            para = at
         at += len(line)
     out = []
     lead = text[: marks[0][1]] if marks else text
@@ -120,11 +131,11 @@ def _unit(text: str, start: int, end: int, function: str = "", owner: str = "")
 
 
 def python_units(text: str) -> list[Piece]:
-    """Outermost functions and classes, without decorators; none if the text doesn't parse."""
+    """Outermost functions and classes, without decorators; by their indentation if the text doesn't parse."""
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
-        return []
+        return indented_units(text)
     lines = text.splitlines(keepends=True)
     starts = [0]
     for line in lines:
@@ -141,6 +152,32 @@ def python_units(text: str) -> list[Piece]:
     return sorted(out, key=lambda p: p.start)
 
 
+_UNIT = re.compile(r"([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+([^\W\d]\w*)")
+
+
+def indented_units(text: str) -> list[Piece]:
+    """A unit runs from its ``def`` or ``class`` line to the last line indented more, blank lines and comments aside."""
+    out, at, unit = [], 0, None  # unit: indent, start, end, kind, name
+
+    def close() -> None:
+        if unit:
+            _, start, end, kind, name = unit
+            out.append(_unit(text, start, end, owner=name) if kind == "class" else _unit(text, start, end, name))
+
+    for line in text.splitlines(keepends=True):
+        bare = line.strip()
+        indent = len(line) - len(line.lstrip())
+        if unit and bare and (indent > unit[0] or bare[0] in ")]}"):
+            unit[2] = at + len(line.rstrip())
+        elif bare and not (unit and bare[0] == "#"):
+            close()
+            m = _UNIT.match(line)
+            unit = [indent, at + indent, at + len(line.rstrip()), m[2], m[3]] if m else None
+        at += len(line)
+    close()
+    return out
+
+
 _SKIP = re.compile(r"//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`", re.S)
 _NAME = r"[A-Za-z_$][\w$]*"
 _FUNCTION = re.compile(rf"(?:async\s+)?function\s*\*?\s*({_NAME})")
@@ -222,7 +259,7 @@ def yaml_type(value: str | None) -> str:
 def yaml_pairs(text: str) -> list[Piece]:
     """A piece for each pair of the document's mappings, outer before inner: value text, dotted path, type.
 
-    Lists are not descended into; pairs without a value or a plain key are left out.  Unreadable text has no pieces.
+    Lists are not descended into, but for one that is the whole document: its first mapping counts.  Pairs without a value or a plain key are left out.  Unreadable text has no pieces.
     """
     import yaml
 
@@ -251,8 +288,14 @@ def yaml_pairs(text: str) -> list[Piece]:
             if isinstance(value, yaml.MappingNode):
                 walk(value, name)
 
-    if isinstance(root, yaml.MappingNode):
-        walk(root, "")
+    todo = [root]
+    while todo:  # a document that is a list is read by its first mapping
+        node = todo.pop()
+        if isinstance(node, yaml.MappingNode):
+            walk(node, "")
+            break
+        if isinstance(node, yaml.SequenceNode):
+            todo += reversed(node.value)
     return out
 
 

@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 CLASSES = ("safe", "euclid", "keter", "thaumiel", "apollyon")
 
 
+#: Extension of a code block's language; others have DEFAULT_EXTENSION.  Fixed values.
+LANGUAGES = {
+    "python": ".py", "py": ".py", "javascript": ".js", "js": ".js", "typescript": ".ts", "ts": ".ts",
+    "json": ".json", "yaml": ".yaml", "yml": ".yaml", "bash": ".txt", "shell": ".txt", "text": ".txt",
+}
+DEFAULT_EXTENSION = ".txt"
+
+
 def with_content(meta: DataFrame, content: DataFrame, key: str) -> DataFrame:
     """Items with their content; items without any are left out."""
     return meta.join(content, key, "left").where("raw_content IS NOT NULL")
@@ -42,7 +50,7 @@ def list_page(title: str, kind: str, links: str, most: int = 50) -> Column:
     return F.concat(F.lit("# "), title, F.lit("\n\nKind: "), kind, F.lit("\n\n"), F.array_join(items, "\n"))
 
 
-def code_extension(language: str, extensions: Mapping[str, str], default: str = ".txt") -> Column:
+def code_extension(language: str, extensions: Mapping[str, str] = LANGUAGES, default: str = DEFAULT_EXTENSION) -> Column:
     known = F.create_map(*[F.lit(x) for pair in extensions.items() for x in pair])
     return F.coalesce(F.try_element_at(known, F.lower(language)), F.lit(default))
 

@@ -133,8 +133,12 @@ def answer_questions(
         for r in rows:
             seen[r["qid"]].add(r["__key"])
         if rows:
-            batch = spark.createDataFrame([((r["qid"], r["source"]), r["content"], r["position_start"], r["position_end"]) for r in rows], "place struct<qid: long, source: string>, content string, position_start long, position_end long")
-            merged = merge_chunks(batch, "place").select("place.qid", "place.source", "position_start", "position_end", "joined_from", "content")
+            told = [r["metadata"] if "metadata" in found.columns else None for r in rows]
+            batch = spark.createDataFrame(
+                [((r["qid"], r["source"]), r["content"], r["position_start"], r["position_end"], m) for r, m in zip(rows, told, strict=True)],
+                "place struct<qid: long, source: string>, content string, position_start long, position_end long, metadata map<string,string>",
+            )
+            merged = merge_chunks(batch, "place").select("place.qid", "place.source", "position_start", "position_end", "joined_from", "content", "metadata")
             asked = spark.createDataFrame([(i, states[i].query) for i in asking], "qid long, question string")
             graded = grade(merged.join(F.broadcast(asked), "qid"), None, model).where("relevant").orderBy("qid", F.col("score").desc(), "source", "position_start")
             for r in graded.drop("question").collect():

@@ -19,6 +19,7 @@ from corvane.operators.windows import paragraph_chunks, window_chunks
 from corvane.plans import etl
 from corvane.plans.loop import StubModel, answer_questions, grade
 from corvane.plans.sync import diff_manifest
+from corvane.sources.scratch import spread
 from corvane.sources.snapshots import delete, upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +38,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def _q(s: str) -> str:
@@ -77,6 +79,10 @@ def _scores(spark, sf_dir) -> DataFrame:
     return bm25.score(_index(spark, sf_dir), items, digits=4)
 
 
+def _words(spark, sf_dir) -> DataFrame:
+    return bm25.tokenised(table(spark, sf_dir, "documents"))
+
+
 @query(f"""WITH {SQL_INDEX}, {SQL_SCORES}
 SELECT qid AS item_id, CAST(rank AS INTEGER) AS rank, id AS doc_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM scores) WHERE rank <= {TOP}""")
@@ -110,12 +116,12 @@ def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_INDEX} SELECT id AS doc_id, term, tf FROM postings")
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).postings.select(F.col("id").alias("doc_id"), "term", "tf")
+    return bm25.postings_of(_words(spark, sf_dir)).select(F.col("id").alias("doc_id"), "term", "tf")
 
 
 @query(f"WITH {SQL_INDEX} SELECT id AS doc_id, dl FROM lengths")
 def document_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).lengths.select(F.col("id").alias("doc_id"), "dl")
+    return bm25.lengths_of(_words(spark, sf_dir)).select(F.col("id").alias("doc_id"), "dl")
 
 
 @query(f"WITH {SQL_INDEX} SELECT term, df, round(idf, 4) AS idf FROM terms")
@@ -170,7 +176,7 @@ lists AS (SELECT qid, id, score, 0 AS list FROM scores UNION ALL SELECT qid, id,
 {SQL_FUSE} SELECT qid AS item_id, id AS doc_id, score FROM fused""")
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scores(spark, sf_dir)
-    by_length = s.select("qid", "id").join(_index(spark, sf_dir).lengths, "id").select("qid", "id", F.round(F.log1p("dl"), 4).alias("score"))
+    by_length = s.select("qid", "id").join(bm25.lengths_of(_words(spark, sf_dir)), "id").select("qid", "id", F.round(F.log1p("dl"), 4).alias("score"))
     return fuse([s, by_length]).select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), "score")
 
 
@@ -278,40 +284,27 @@ def extract_code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.code_blocks(table(spark, sf_dir, "documents").select("doc_id", fenced.alias("t")), "t").select("doc_id", "code_lang", "code")
 
 
-SQL_KEPT = "kept AS (SELECT doc_id AS source, position_start, position_end, content FROM pieces WHERE chunk_index % 3 <> 1)"
-
-
-@query(f"""WITH {SQL_WINDOWS}, {SQL_KEPT},
+@query(f"""WITH {SQL_WINDOWS}, kept AS (SELECT doc_id AS source, position_start, position_end, content FROM pieces),
 r AS (SELECT *, max(position_end) OVER (PARTITION BY source ORDER BY position_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM kept),
 i AS (SELECT *, sum(CASE WHEN position_start <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY position_start ROWS UNBOUNDED PRECEDING) AS island FROM r)
 SELECT source, min(position_start) AS position_start, max(position_end) AS position_end, count(*) AS joined_from,
     string_agg(CASE WHEN reach IS NULL OR position_start > reach + 1 THEN content ELSE substr(content, CAST(greatest(reach - position_start, 0) AS BIGINT) + 1) END, '' ORDER BY position_start) AS content
 FROM i GROUP BY source, island""")
 def merge_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _windows(spark, sf_dir).where("chunk_index % 3 <> 1").select(F.col("doc_id").alias("source"), "position_start", "position_end", "content")
-    return merge_chunks(kept)
-
-
-@query(None)
-def merge_intervals_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """:func:`merge_intervals` of all windows of each document; gaps are those that word cuts leave."""
+    """Runs of all windows of each document; gaps are those that word cuts leave."""
     return merge_chunks(_windows(spark, sf_dir).select(F.col("doc_id").alias("source"), "position_start", "position_end", "content"))
 
 
 @query(f"""WITH {SQL_WINDOWS}, k AS (SELECT source || '::' || substr(content, 1, 200) AS key, doc_id, chunk_index FROM pieces),
-seen AS (SELECT DISTINCT key FROM k WHERE doc_id % 2 = 0)
-SELECT key, min(doc_id) AS first_doc, count(*) AS n FROM k WHERE doc_id % 2 = 1 AND key NOT IN (SELECT key FROM seen) GROUP BY key""")
+once AS (SELECT key, min(doc_id) AS first_doc, count(*) AS n FROM k GROUP BY key)
+SELECT key, first_doc, n, NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = first_doc AND l.quality = 0) AS fresh FROM once""")
 def chunk_dedup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the windows of all documents: the first document with a key, and its windows; ``fresh`` unless that document is among those seen as bad."""
     k = _windows(spark, sf_dir).withColumn("key", T.dedup_key("source", "content"))
-    seen = k.where("doc_id % 2 = 0").select("key").distinct()
-    return delete(k.where("doc_id % 2 = 1"), seen, "key").groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
-
-
-@query(None)
-def chunk_dedup_key_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of the windows of all documents: the first document with a key, and its windows; those behind the first (by document and place) repeat what was seen."""
-    k = _windows(spark, sf_dir).withColumn("key", T.dedup_key("source", "content"))
-    return k.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
+    once = k.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
+    bad = table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("first_doc"))
+    fresh = delete(once, bad, "first_doc").withColumn("fresh", F.lit(True))
+    return fresh.unionByName(once.join(bad.distinct(), "first_doc", "left_semi").withColumn("fresh", F.lit(False)))
 
 
 _REPLY = """CASE doc_id % 5 WHEN 0 THEN 'relevant: ' || CASE quality WHEN 1 THEN 'yes' ELSE 'no' END || chr(10) || 'score: 0.' || doc_id
@@ -331,25 +324,15 @@ def parse_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SQL_WINDOWS},
-r AS (SELECT p.doc_id, chunk_index, position_start, position_end, CASE WHEN length(d.text) <= 10000 AND length(content) <= 400 THEN d.text ELSE content END AS body
-    FROM pieces p JOIN labels l USING (doc_id) JOIN documents d USING (doc_id) WHERE l.quality = 1 AND chunk_index < 3)
+r AS (SELECT p.doc_id, chunk_index, position_start, position_end, CASE WHEN length(content) <= 400 THEN d.text ELSE content END AS body
+    FROM pieces p JOIN labels l USING (doc_id) JOIN documents d USING (doc_id) WHERE l.quality = 1)
 SELECT doc_id, string_agg('[Source ' || (chunk_index + 1) || ': ' || doc_id || ' [chars ' || position_start || '-' || position_end || ']]' || chr(10) || body,
     chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY chunk_index) AS context FROM r GROUP BY doc_id""")
 def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _windows(spark, sf_dir).where("chunk_index < 3").join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id")
-    chunks = chunks.join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole")), "doc_id")
-    body = F.expr("CASE WHEN length(whole) <= 10000 AND length(content) <= 400 THEN whole ELSE content END")
-    head = F.concat(F.lit("[Source "), F.col("chunk_index") + 1, F.lit(": "), "doc_id", F.lit(" "), T.position_hint("position_start", "position_end"), F.lit("]\n"), body)
-    parts = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", head.alias("part")))).alias("p"))  # three a document
-    return parts.select("doc_id", F.array_join(F.expr("transform(p, x -> x.part)"), "\n\n---\n\n").alias("context"))
-
-
-@query(None)
-def context_assembly_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """:func:`context_assembly` of all windows of each document; a short window gives way to its document, however long that is (P21)."""
-    chunks = _windows(spark, sf_dir).join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id")
-    chunks = chunks.join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole")), "doc_id")
-    body = F.expr("CASE WHEN length(content) <= 400 AND whole IS NOT NULL THEN whole ELSE content END")
+    """All windows of each document of quality 1 as numbered sources; a short window gives way to its document, however long that is (P21)."""
+    good = table(spark, sf_dir, "documents").select("doc_id", "source", "text").join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id")
+    chunks = window_chunks(good)  # a window carries its document, of which it is a part
+    body = F.expr("CASE WHEN length(content) <= 400 THEN text ELSE content END")
     head = F.concat(F.lit("[Source "), F.col("chunk_index") + 1, F.lit(": "), "doc_id", F.lit(" "), T.position_hint("position_start", "position_end"), F.lit("]\n"), body)
     parts = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", head.alias("part")))).alias("p"))  # one document's windows
     return parts.select("doc_id", F.array_join(F.expr("transform(p, x -> x.part)"), "\n\n---\n\n").alias("context"))
@@ -374,14 +357,16 @@ def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_CHANGED = """old_ AS (SELECT CAST(doc_id AS VARCHAR) AS rel, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS file_hash FROM documents WHERE doc_id % 11 <> 0),
-new_ AS (SELECT CAST(doc_id AS VARCHAR) AS rel, sha256(text) AS file_hash FROM documents WHERE doc_id % 13 <> 0)"""
+# Two states of a folder of all documents: every seventh changes, every thirteenth is renamed.
+_CHANGED = """old_ AS (SELECT CAST(doc_id AS VARCHAR) AS rel, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS file_hash FROM documents),
+new_ AS (SELECT CASE WHEN doc_id % 13 = 0 THEN 'moved/' ELSE '' END || doc_id AS rel, sha256(text) AS file_hash FROM documents)"""
 
 
 def _versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").withColumn("rel", F.col("doc_id").cast("string"))
-    old = docs.where("doc_id % 11 <> 0").select("rel", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("file_hash"))
-    return old, docs.where("doc_id % 13 <> 0").select("rel", F.sha2("text", 256).alias("file_hash"))
+    docs = table(spark, sf_dir, "documents")
+    old = docs.select(F.col("doc_id").cast("string").alias("rel"), F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("file_hash"))
+    name = F.concat(F.when(F.col("doc_id") % 13 == 0, "moved/").otherwise(""), F.col("doc_id").cast("string"))
+    return old, docs.select(name.alias("rel"), F.sha2("text", 256).alias("file_hash"))
 
 
 @query(f"""WITH {_CHANGED} SELECT coalesce(n.rel, o.rel) AS rel, n.file_hash, o.file_hash AS old_hash,
@@ -392,12 +377,13 @@ def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff_manifest(new, old)
 
 
-@query(f"""WITH {_CHANGED} SELECT rel, file_hash FROM new_ WHERE rel NOT LIKE '%9'
-UNION ALL SELECT rel, file_hash FROM old_ WHERE rel NOT IN (SELECT rel FROM new_) AND rel NOT LIKE '%9'""")
+@query(f"""WITH {_CHANGED}, bad AS (SELECT CAST(doc_id AS VARCHAR) AS rel FROM labels WHERE quality = 0)
+SELECT rel, file_hash FROM new_ WHERE rel NOT IN (SELECT rel FROM bad)
+UNION ALL SELECT rel, file_hash FROM old_ WHERE rel NOT IN (SELECT rel FROM new_) AND rel NOT IN (SELECT rel FROM bad)""")
 def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _versions(spark, sf_dir)
-    merged = upsert(old, new, "rel")
-    return delete(merged, merged.where("rel LIKE '%9'").select("rel"), "rel")
+    bad = table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").cast("string").alias("rel"))
+    return delete(upsert(old, new, "rel"), bad, "rel")
 
 
 @query("""SELECT doc_id, source, CAST(spent AS BIGINT) AS spent FROM (SELECT doc_id, source,
@@ -462,7 +448,7 @@ def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown made from pages, JSON from events and conversations' YAML, chunked by their structure."""
     md = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("rel"), F.lit(".md").alias("ext"), F.concat(F.lit("# "), "url", F.lit("\n"), "html").alias("text"))
     js = table(spark, sf_dir, "events").select(F.concat(F.lit("e"), "event_id").alias("rel"), F.lit(".json").alias("ext"), F.col("props").alias("text"))
-    ya = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("rel"), F.lit(".yaml").alias("ext"), F.concat(F.lit("role: "), "role", F.lit("\nturn: "), "turn", F.lit("\nmeta:\n  chars: "), F.length("text")).alias("text"))
+    ya = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("rel"), F.lit(".yaml").alias("ext"), F.concat(F.lit("role: "), "role", F.lit("\nturn: "), "turn", F.lit("\nmeta:\n  chars: "), F.length("text"), F.lit("\n  said: "), F.expr("substring(to_json(named_struct('x', text)), 6, length(to_json(named_struct('x', text))) - 6)")).alias("text"))
     return chunk_files(md.union(js).union(ya)).withColumn("metadata", F.to_json("metadata"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.config import Settings
 from corvane.functions.text import base_name, enriched, entity_id, glob_match, stem
-from corvane.operators.bm25 import build_index
+from corvane.operators.bm25 import index_of, lengths_of, postings_of, tokenised
 from corvane.operators.embedding import Embedder, embed
 from corvane.operators.structured import chunk_files
 from corvane.sources.snapshots import Store, delete, upsert
@@ -17,6 +18,10 @@ from corvane.sources.snapshots import Store, delete, upsert
 CHUNKS = """chunk_id string, source string, chunk_index int, file_extension string, file_hash string, content string,
     doc_text string, position_start long, position_end long, metadata map<string,string>, embedding array<float>"""
 MANIFEST = "rel string, file_hash string, n_chunks long"
+POSTINGS = "term string, id string, tf long, dl long"
+LENGTHS = "id string, dl long"
+
+log = logging.getLogger(__name__)
 
 
 def diff_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -59,36 +64,58 @@ class Synced:
     total_chunks: int
 
 
+def _live(store: Store, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None:
+    """Chunks, manifest, postings and lengths of the live version; None if there is none for this folder or it can't be read."""
+    try:
+        meta = store.meta()
+        if meta is None or meta["source_folder"] != folder:
+            return None
+        tables = tuple(store.table(n, schema) for n, schema in (("chunks", CHUNKS), ("manifest", MANIFEST), ("postings", POSTINGS), ("lengths", LENGTHS)))
+        for t in tables:
+            t.agg(F.count(t.columns[-1])).first()  # a damaged file shows here
+        return tables
+    except Exception:  # noqa: BLE001  whatever the reader raises, the index is built anew
+        log.exception("the index in %s can't be read; indexing from nothing", store.root)
+        return None
+
+
 def sync(store: Store, files: DataFrame, folder: str, glob: str = "*", settings: Settings = Settings(), embedder: Embedder | None = None) -> Synced:  # noqa: B008
-    """Bring the index to the state of ``files``; only new and changed files are chunked.
+    """Bring the index to the state of ``files``; only new and changed files are chunked, embedded and tokenised.
 
-    Another folder than the live version's starts from nothing.  Files outside ``glob`` are left as they are.  All chunks
-    of a changed file are replaced; removed files leave chunks and manifest.  Postings are derived from the new
-    chunks in the same version, so they are never stale.  ``embedder`` fills the chunks' vectors.  The pointer is written last.
+    Another folder than the live version's starts from nothing, and so does an index that can't be read.  Files outside ``glob``
+    are left as they are.  All chunks of a changed file are replaced; removed files leave chunks, postings and manifest.
+    New chunks are written, with their vectors, before anything is derived from them, so ``embedder`` sees each
+    once; postings of other chunks are kept.  The pointer is written last.
     """
-    meta = store.meta()
-    same = meta is not None and meta["source_folder"] == folder
     spark = files.sparkSession
-    chunks = store.table("chunks", CHUNKS) if same else spark.createDataFrame([], CHUNKS)
-    manifest = store.table("manifest", MANIFEST) if same else spark.createDataFrame([], MANIFEST)
+    live = _live(store, folder)
+    chunks, manifest, postings, lengths = live or [spark.createDataFrame([], x) for x in (CHUNKS, MANIFEST, POSTINGS, LENGTHS)]
     in_scope = manifest.withColumn("__n", base_name("rel")).where(glob_match("__n", glob)).drop("__n")
-    status = diff_manifest(files, in_scope).cache()
+    version = store.new_version()
+    status = store.stage(version, "status", diff_manifest(files, in_scope))
     counts = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}  # four rows at most
     changed, gone = status.where("status IN ('new', 'changed')"), status.where("status = 'removed'")
-    if not same or counts.keys() - {"unchanged"}:
+    if live is None or counts.keys() - {"unchanged"}:
         todo = files.join(changed.select("rel"), "rel", "left_semi")
         fresh = index_chunks(todo, settings)
         fresh = embed(fresh, "doc_text", embedder) if embedder else fresh.withColumn("embedding", F.lit(None).cast("array<float>"))
+        fresh = store.stage(version, "fresh", fresh)
         touched = changed.select(F.col("rel").alias("source")).union(gone.select("rel"))
-        kept = delete(chunks, touched, "source")
+        old_ids = chunks.join(touched.distinct(), "source", "left_semi").select(F.col("chunk_id").alias("id"))
+        store.stage(version, "chunks", delete(chunks, touched, "source").unionByName(fresh))
         n = fresh.groupBy(F.col("source").alias("rel")).agg(F.count("*").alias("n_chunks"))
-        rows = todo.select("rel", "file_hash").join(n, "rel", "left").select("rel", "file_hash", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
-        new_manifest = upsert(delete(manifest, gone, "rel"), rows, "rel")
-        index = build_index(kept.unionByName(fresh), "chunk_id", "doc_text")
-        store.commit(
-            {"chunks": kept.unionByName(fresh), "manifest": new_manifest, "postings": index.postings, "lengths": index.lengths, "terms": index.terms, "corpus": index.corpus},
-            folder,
-        )
-    status.unpersist()
+        rows = changed.select("rel", "file_hash").join(n, "rel", "left").select("rel", "file_hash", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+        store.stage(version, "manifest", upsert(delete(manifest, gone, "rel"), rows, "rel"))
+        words = tokenised(fresh, "chunk_id", "doc_text")
+        postings = store.stage(version, "postings", delete(postings, old_ids, "id").unionByName(postings_of(words)))
+        lengths = store.stage(version, "lengths", delete(lengths, old_ids, "id").unionByName(lengths_of(words)))
+        index = index_of(postings, lengths)
+        store.stage(version, "terms", index.terms)
+        store.stage(version, "corpus", index.corpus)
+        store.publish(version, folder)
+        store.discard(f"{version}/fresh")
+        store.discard(f"{version}/status")
+    else:
+        store.discard(version)
     total = store.table("chunks", CHUNKS).count()
     return Synced(counts.get("new", 0) + counts.get("changed", 0), counts.get("removed", 0), counts.get("unchanged", 0), total)

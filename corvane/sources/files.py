@@ -17,7 +17,7 @@ def scan_folder(spark: SparkSession, folder: str, glob: str = "*", extensions: S
     """``(rel, ext, file_hash, text, n_bytes)`` of the folder's files, recursively.
 
     ``glob`` applies to base names, extensions to their lower-case suffix.  Bytes that aren't
-    UTF-8 become U+FFFD.  A missing folder or a file raises FileNotFoundError or NotADirectoryError.  Zero-length
+    UTF-8 become U+FFFD.  Files that can't be read are passed over.  A missing folder or a file raises FileNotFoundError or NotADirectoryError.  Zero-length
     files, which Spark's binary source leaves out, have no chunk and aren't listed.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -30,7 +30,7 @@ def scan_folder(spark: SparkSession, folder: str, glob: str = "*", extensions: S
     empty = not fs.listFiles(path, True).hasNext()
     if empty:
         return spark.createDataFrame([], FILES)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(folder)
     place = F.regexp_replace(F.col("path"), r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
     raw = raw.withColumn("rel", F.substr(place, F.lit(len(root) + 1))).withColumn("name", base_name("rel"))
     raw = raw.withColumn("ext", extension("name")).where(F.col("ext").isin(*extensions) & glob_match("name", glob))

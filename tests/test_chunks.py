@@ -40,46 +40,60 @@ def labels(text, ext, key):
 
 def test_json():
     assert split_text("", "json") == [] and split_text("{}", "json") == [] and split_text("3", "json") == []
-    assert labels('{"name": "Alice", "age": 30}', ".json", "key_path") == ["name", "age"]
-    assert labels('{"count": 42, "price": 9.99, "a": true, "n": null}', "json", "value_type") == ["integer", "float", "boolean", "null"]
-    assert labels('{"items": [{"id": 1}, {"id": 2}]}', "json", "key_path") == ["items.0.id", "items.1.id"]
-    assert labels('[1, "text", true, null, {"k": "v"}]', "json", "key_path") == ["0", "1", "2", "3", "4.k"]
-    assert labels('{"a": {"b": {"c": {"d": "deep"}}}}', "json", "key_path") == ["a.b.c.d"]
+    assert labels('{"planet": "Mars", "moons": 2}', ".json", "key_path") == ["planet", "moons"]
+    assert labels('{"mass": 6.4, "ring": false, "orbit": 687, "life": null}', "json", "value_type") == ["float", "boolean", "integer", "null"]
+    assert labels('{"moons": [{"km": 22}, {"km": 12}]}', "json", "key_path") == ["moons.0.km", "moons.1.km"]
+    assert labels('["Io", null, 7, {"ice": false}]', "json", "key_path") == ["0", "1", "2", "3.ice"]
+    assert labels('{"sun": {"earth": {"moon": "grey"}}}', "json", "key_path") == ["sun.earth.moon"]
     (p,) = split_text('{"k": "v, {x}"}', "json")
     assert p.text == '"v, {x}"' and '{"k": "v, {x}"}'[p.start : p.end] == p.text
 
 
 def test_yaml():
-    text = "database:\n  host: h\n  port: 5\nserver:\n  host: x\n"
-    assert labels(text, "yml", "key_path") == ["database", "database.host", "database.port", "server", "server.host"]
-    kinds = "count: 5\nname: x\nenabled: true\nratio: 1.5\nnothing: null\nquoted: '5'\nlist: [1]\nempty:\n"
+    text = "ship:\n  mast: oak\n  sails: 3\nport:\n  mast: none\n"
+    assert labels(text, "yml", "key_path") == ["ship", "ship.mast", "ship.sails", "port", "port.mast"]
+    kinds = "sails: 3\nmast: oak\nafloat: yes\nspeed: 7.25\nflag: ~\ncode: '07'\ncrew: [ann]\nhold:\n"
     assert labels(kinds, "yaml", "value_type") == ["integer", "string", "boolean", "float", "null", "string", "sequence"]
     assert split_text("- a\n- b\n", "yaml") == [] and split_text("a: [", "yaml") == []
+    assert labels("- 5\n- mast: oak\n  sails: 3\n- mast: fir\n", "yaml", "key_path") == ["mast", "sails"]  # a list is read by its first mapping
 
 
 def test_markdown():
-    assert split_text("", "md") == [] and len(split_text("no heading", "md")) == 1
-    text = "lead\n\n# Intro\none\n\n```\n# not a heading\ndef foo(): pass\n```\n## Two\ntwo\n# Last\n"
+    assert split_text("", "md") == [] and len(split_text("plain words", "md")) == 1
+    text = "before\n\n# Tea\nleaves\n\n~~~\n# still code\n~~~\n### Green\nmild\n# Coffee\n"
     pieces = split_text(text, "md")
-    assert [p.labels.get("section") for p in pieces] == [None, "# Intro", "## Two", "# Last"]
-    assert "def foo()" in pieces[1].text and "two" in pieces[1].text  # nested sections are repeated
-    assert text[pieces[2].start : pieces[2].end].startswith("## Two")
-    long = split_text("# T\n" + "<p>Repeated line.</p>" * 50, "md", 500, 50)
-    assert len(long) > 1 and all("Repeated line" in p.text for p in long)
-    assert html_text("<table><tr><td>a</td><td>é</td></tr></table><span style='x'>b</span>").split() == ["a", "é", "b"]
+    assert [p.labels.get("section") for p in pieces] == [None, "# Tea", "### Green", "# Coffee"]
+    assert "still code" in pieces[1].text and "mild" in pieces[1].text  # nested sections are repeated
+    assert text[pieces[2].start : pieces[2].end].startswith("### Green")
+    long = split_text("# Tea\n" + "<li>steep it for a while</li>" * 50, "md", 500, 50)
+    assert len(long) > 1 and all("steep it" in p.text for p in long)
+    assert html_text("<ul><li>one</li><li>zwölf</li></ul><b class='x'>end</b>").split() == ["one", "zwölf", "end"]
+
+
+def test_markdown_underlined_headings():
+    text = "Tea\n===\nleaves\n\nGreen\ntea\n---\nmild\n\n---\n- item\n---\n"
+    pieces = split_text(text, "md")
+    assert [p.labels.get("section") for p in pieces] == ["Tea", "Green\ntea"]  # a line behind a blank one or a list is a rule
+    assert "mild" in pieces[0].text and text[pieces[1].start :].startswith("Green\ntea\n---\nmild")
 
 
 def test_code():
-    py = "import os\n\ndef foo():\n    'é'\n    return 1\n\n@dec\nclass MyClass:\n    def m(self): pass\n\nif True:\n    async def bar(): pass\n"
-    assert labels(py, "py", "function_name") == ["foo", "", "bar"] and labels(py, "py", "class_name")[1] == "MyClass"
-    assert split_text(py, "py")[0].text == "def foo():\n    'é'\n    return 1"
+    py = "import re\n\ndef brew(t):\n    'heiß'\n    return t\n\n@hot\nclass Kettle:\n    def pour(self): pass\n\nif re:\n    async def wait(): pass\n"
+    assert labels(py, "py", "function_name") == ["brew", "", "wait"] and labels(py, "py", "class_name")[1] == "Kettle"
+    assert split_text(py, "py")[0].text == "def brew(t):\n    'heiß'\n    return t"
     assert split_text(py, "py")[0].labels["line_start"] == "3"
     assert len(split_text("x = 1\ny = 2\n", "py")) == 1 and len(split_text("def broken(:\n", "py")) == 1
-    ts = "interface A { b: string }\nfunction greet(name: string): string { return `hi ${name} }`; }\nclass Greeter {\n  x = 1;\n  constructor() {}\n  sayHi(): void { if (a) { b(); } }\n}\nconst f = (x: number) => x + 1;\nconst g = 5;\n"
+    ts = "interface Leaf { name: string }\nfunction steep(min: number): string { return `for ${min}`; }\nclass Pot {\n  lid = 1;\n  constructor() {}\n  fill(): void { if (hot) { stir(); } }\n}\nconst twice = (n: number) => n * 2;\nconst cups = 5;\n"
     got = [(p.labels["function_name"], p.labels["class_name"]) for p in split_text(ts, "ts")]
-    assert got == [("greet", ""), ("constructor", "Greeter"), ("sayHi", "Greeter"), ("f", "")]
-    js = "// function no() {}\nasync function a() { return '}' }\nconst h = async () => { x() };\nclass C { m() { return 1 } }\n"
-    assert [(p.labels["function_name"], p.labels["class_name"]) for p in split_text(js, "js")] == [("a", ""), ("", ""), ("m", "")]
+    assert got == [("steep", ""), ("constructor", "Pot"), ("fill", "Pot"), ("twice", "")]
+    js = "// function none() {}\nasync function cool() { return '}' }\nconst heat = async () => { x() };\nclass Cup { sip() { return 1 } }\n"
+    assert [(p.labels["function_name"], p.labels["class_name"]) for p in split_text(js, "js")] == [("cool", ""), ("", ""), ("sip", "")]
+
+
+def test_units_of_python_that_does_not_parse():
+    py = "x = (\n\ndef brew(t):\n    # hot\n    if t\n\n        return t\n\nclass Kettle(\n    Pot,\n):\n    lid = 1\nprint x\nasync def wait():\n    pass\n"
+    got = [(p.labels["function_name"], p.labels["class_name"], p.text.splitlines()[-1].strip()) for p in split_text(py, "py")]
+    assert got == [("brew", "", "return t"), ("", "Kettle", "lid = 1"), ("wait", "", "pass")]
 
 
 def test_chunk_files(spark):

@@ -57,6 +57,8 @@ def test_merge_of_ranges(spark):
     df = spark.createDataFrame(rows, "source string, position_start long, position_end long, content string")
     got = {(r["source"], r["position_start"], r["position_end"], r["joined_from"], r["content"]) for r in merge_chunks(df).collect()}
     assert got == {("f", 0, 12, 3, "abcdefghijk"), ("f", 20, 22, 1, "zz"), ("g", 5, 9, 1, "gggg"), (None, 1, 2, 1, "n"), ("h", None, None, 1, "p")}
+    told = merge_chunks(df.withColumn("metadata", F.create_map(F.lit("from"), "content"))).collect()
+    assert {(r["source"], r["position_start"]): r["metadata"]["from"] for r in told} == {("f", 0): "abcdef", ("f", 20): "abcdef", ("g", 5): "gggg", (None, 1): "n", ("h", None): "p"}
 
 
 def test_running_sums_over_blocks(spark):
@@ -140,6 +142,65 @@ def test_facade_end_to_end(spark, tmp_path):
     assert engine.find_relevant_docs("zeppelin", 0) == []
 
 
+class Counting:
+    """Writes a line for each text it is asked for, wherever it runs."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def __call__(self, texts):
+        with open(self.path, "a") as f:
+            f.write("".join(f"{hash(t)}\n" for t in texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+
+def test_each_new_chunk_is_embedded_once_and_postings_of_others_stay(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"f{i}.txt").write_text(f"lantern number {i} stands here")
+    calls = tmp_path / "calls"
+    engine = Engine(spark, f"file://{tmp_path}/index", embedder=Counting(str(calls)))
+    assert engine.index_folder(str(folder)).total_chunks == 3
+    assert len(calls.read_text().splitlines()) == 3
+    (folder / "f1.txt").write_text("another text altogether, without the word")
+    (folder / "f2.txt").unlink()
+    assert engine.index_folder(str(folder)).total_chunks == 2
+    assert len(calls.read_text().splitlines()) == 4
+    meta = engine.store.meta()
+    index = bm25.Index.load(spark, f"{engine.store.root}/{meta['snapshot']}")
+    fresh = bm25.build_index(engine.store.table("chunks", "chunk_id string, doc_text string"), "chunk_id", "doc_text")
+    for name in ("postings", "lengths", "terms", "corpus"):
+        a, b = getattr(index, name), getattr(fresh, name)
+        assert sorted(map(str, a.select(sorted(a.columns)).collect())) == sorted(map(str, b.select(sorted(a.columns)).collect()))
+    (best,) = [r for r in engine.find_relevant_docs("lantern", 5) if r["source"] == "f0.txt"]
+    assert engine.get(best["chunk_id"])["content"].startswith("lantern") and engine.get("none") is None
+    assert engine.ask_question("lantern").source_files[0] == "f0.txt"
+
+
+def test_a_damaged_index_is_built_anew_and_clear_forgets(spark, tmp_path):
+    folder, root = tmp_path / "in", tmp_path / "index"
+    folder.mkdir()
+    (folder / "a.txt").write_text("a quiet harbour")
+    engine = Engine(spark, f"file://{root}")
+    for _ in range(3):
+        assert engine.index_folder(str(folder)).total_chunks == 1
+    (folder / "b.txt").write_text("b")
+    engine.index_folder(str(folder))
+    (folder / "c.txt").write_text("c")
+    engine.index_folder(str(folder))
+    assert len(list(root.glob("v-*/chunks"))) == 2  # older versions go
+    for f in root.glob("v-*/manifest/*.parquet"):
+        f.write_bytes(b"broken")
+    for f in root.glob("v-*/manifest/.*.crc"):
+        f.unlink()
+    done = engine.index_folder(str(folder))
+    assert done.total_chunks == 3 and done.message.startswith("3 files indexed")
+    engine.clear()
+    assert engine.index_status().is_indexed is False and not root.exists()
+    assert engine.index_folder(str(folder)).total_chunks == 3
+
+
 def test_stream_of_texts(spark, tmp_path):
     rows = [(i, "word " * 200) for i in range(4)]
     source = str(tmp_path / "src")
