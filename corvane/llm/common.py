@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.sources.scratch import Scratch, shared_root, spread
 
 #: Java/Spark pattern of the white space that separates words: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,43 +16,49 @@ GAP = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-_fallback: dict[str, str] = {}
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+# --- marks: a hash set of fixed size ------------------------------------------
+#
+# 2 ** MARK_BITS rows of 64 bits at most, whatever the number of hashes in it.  A hash that isn't marked
+# is surely not in the set; one that is may be, and is verified by a join.  With ten million hashes one in seven
+# others is marked, with a billion all are: then the join does the work, and results are the same.
 
-    Where it is unset (tests on one machine) a temporary folder stands in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _fallback.get("dir") or _fallback.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="corvane-"))
-    return base.rstrip("/")
+MARK_BITS = 20
 
 
-class Scratch:
-    """Tables an operator writes to the shared folder to cut lineage.
+def _slot(h: str) -> str:
+    return f"CAST(shiftrightunsigned({h}, {64 - MARK_BITS}) AS INT)"
 
-    A written table survives lost executors, unlike a local checkpoint, and
-    keeps a later stage from computing an expensive scan twice.
-    """
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_root(spark)}/corvane-{label}-{uuid.uuid4().hex}"
+def _bit(h: str) -> str:
+    return f"shiftleft(1L, CAST(shiftrightunsigned({h}, {58 - MARK_BITS}) & 63 AS INT))"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+def marks(hashes: DataFrame, h: str) -> DataFrame:
+    """``(slot, bits)``: the marks of a column of 64-bit hashes."""
+    return hashes.select(F.expr(_slot(h)).alias("slot"), F.expr(_bit(h)).alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def marked(df: DataFrame, h: str, table: DataFrame, name: str = "__marked") -> DataFrame:
+    """Add whether the hash ``h`` is marked in ``table`` (at most 2 ** MARK_BITS rows, so it is broadcast); a null hash isn't."""
+    t = F.broadcast(table.select(F.col("slot").alias("__slot"), F.col("bits").alias("__bits")))
+    out = df.join(t, F.expr(_slot(h)) == F.col("__slot"), "left")
+    return out.withColumn(name, F.coalesce(F.expr(f"__bits & {_bit(h)} <> 0"), F.lit(False))).drop("__slot", "__bits")
+
+
+def without(docs: DataFrame, h: Column, gone: DataFrame, gone_h: str, same: Column, scratch: Scratch) -> DataFrame:
+    """``docs`` without the rows that meet one of ``gone`` under ``same``; ``h`` is a hash of a row, ``gone_h`` the same one in ``gone``.
+
+    Only rows whose hash is marked go through the anti-join; the texts of all others stay where they are read.
+    """
+    table = scratch.table(marks(gone, gone_h), "gone-marks")
+    rows = marked(docs.withColumn("__h", h), "__h", table)
+    sure = rows.where("NOT __marked")
+    rest = rows.where("__marked").join(gone, same, "left_anti")
+    return sure.unionByName(rest).drop("__h", "__marked")
 
 
 # --- numpy text blocks -------------------------------------------------------

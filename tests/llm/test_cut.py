@@ -1,13 +1,13 @@
-"""Benchmark passages are cut out of documents that the pipeline keeps."""
+"""Benchmark passages are cut out of documents that stay."""
 
-import corpus_pipeline
+from corvane.llm.contamination import cut_documents
 from tests.llm import brute
 
 ITEM = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
 FILL = " ".join(f"w{i}" for i in range(400))
 
 
-def test_kept_documents_hold_no_benchmark_window(spark, tmp_path):
+def test_kept_documents_hold_no_benchmark_window(spark):
     w = ITEM.split()
     texts = {
         1: f"{FILL}, ALPHA-beta {' '.join(w[2:])}! Zwölf, the end. ",
@@ -20,8 +20,7 @@ def test_kept_documents_hold_no_benchmark_window(spark, tmp_path):
     }
     rows = [(i, t, None if t is None else len(t)) for i, t in texts.items()] + [(1, texts[1], len(texts[1]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
-    spark.createDataFrame([(0, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    out = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    out = cut_documents(docs, spark.createDataFrame([(0, ITEM)], "item_id long, text string"))
     got = sorted((r["doc_id"], r["text"], r["n_chars"]) for r in out.where("text IS NOT NULL").collect())
     expected = {1: FILL + "! Zwölf, the end. ", 2: f"{FILL} {FILL} tail", 4: texts[4], 6: "", 7: f"\n{FILL} z"}
     assert got == sorted((i, expected[i], len(expected[i])) for i in (1, 1, 2, 4, 6, 7))

@@ -182,14 +182,40 @@ def test_decontamination(spark, docs, empty, small, sf):
     real = spark.read.parquet(f"{sf}/benchmark.parquet")
     for df, it in ((docs, bench), (empty, bench), (docs, bench.limit(0)), (small, real)):
         plain = [(r["item_id"], r["text"]) for r in it.collect() if r["item_id"] is not None]
-        for limit in (200_000, 0):
-            out = find_contamination(df, it.where("item_id IS NOT NULL"), max_broadcast_windows=limit)
-            got = out.select("doc_id", "n_words", "n_hit", F.size("item_ids"), F.sha2(F.array_join("item_ids", ","), 256), "contaminated")
-            same(got, brute.contamination(pairs(df), plain))
+        out = find_contamination(df, it)
+        got = out.select("doc_id", "n_words", "n_hit", F.size("item_ids"), F.sha2(F.array_join("item_ids", ","), 256), "contaminated")
+        same(got, brute.contamination(pairs(df), plain))
     clean = clean_documents(docs, bench.where("item_id = 1"))
     assert clean.columns == docs.columns
     bad = [x[0] for x in brute.contamination(pairs(docs), [(1, brute.BASE)]) if x[5]]
     assert clean.count() == docs.count() - len(bad)
+    # a whole window drops a document however long it is; a short item doesn't
+    long = [(1, "v " * 3000 + brute.BASE), (2, "v " * 3000 + "x y"), (3, None), (4, "x y"), (None, brute.BASE)]
+    left = clean_documents(spark.createDataFrame(long, "doc_id long, text string"), bench.limit(1).union(spark.createDataFrame([(9, "x y", "zz")], bench.schema)), whole=True)
+    assert sorted(left.collect(), key=str) == sorted([long[1], long[2]], key=str)
+
+
+def test_decontamination_has_one_plan_for_any_number_of_windows(spark, docs, monkeypatch):
+    """With a set of four bits nearly every window is marked, as with billions of item windows: only joins are left to tell."""
+    from corvane.llm import common
+
+    bench = spark.createDataFrame([(1, brute.BASE), (2, "one two three four")], "item_id long, text string")
+    shape = lambda df: re.sub(r"[0-9]+|corvane-\S+", "", df._jdf.queryExecution().optimizedPlan().toString())
+    plain = find_contamination(docs, bench)
+    expected, plan = plain.drop("text_key").collect(), shape(plain)
+    monkeypatch.setattr(common, "_slot", lambda h: f"CAST(shiftrightunsigned({h}, 63) AS INT)")
+    monkeypatch.setattr(common, "_bit", lambda h: f"shiftleft(1L, CAST(shiftrightunsigned({h}, 62) & 1 AS INT))")
+    full = find_contamination(docs, bench)
+    assert sorted(map(str, full.drop("text_key").collect())) == sorted(map(str, expected)) and shape(full) == plan
+
+
+def test_a_set_of_fixed_size_never_loses_a_hash(spark):
+    from corvane.llm.common import marked, marks
+
+    df = spark.range(3000).select("id", F.when(F.col("id") > 0, F.xxhash64("id")).alias("h"))
+    table = marks(df.where("id % 3 = 1"), "h")
+    got = {r["id"]: r["__marked"] for r in marked(df, "h", table).collect()}
+    assert all(got[i] for i in range(1, 3000, 3)) and not got[0] and sum(got.values()) < 1100
 
 
 def test_exact_dedup(spark, docs, empty, small):
