@@ -35,7 +35,8 @@ class Encoder:
     Ids of words are remembered, behind a space and bare, up to ``limit`` words; then all are forgotten.
     Pre-tokens are split here by the published pattern, since the library's splitter is the slow
     part, and the library's BPE model encodes them.  Words with characters above ``SAFE`` (whose classes may differ between
-    Unicode versions) and texts with other white space go through the library whole.
+    Unicode versions), texts with other white space, and texts that hold the string of an added (special) token, which gets that
+    token's id by the library's default, go through the library whole.
     """
 
     SAFE = "ɏ"
@@ -46,9 +47,9 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         self.bpe = Tokenizer.from_file(path)
-        self.bpe.encode_special_tokens = True
+        # strings that the library finds in a text before it is split, such as those of special tokens
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.bpe.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.newline = self.whole.encode("\n", add_special_tokens=False).ids
@@ -126,6 +127,9 @@ class Encoder:
         behind: set[str] = set()
         first: set[str] = set()
         for t in texts:
+            if any(a in t for a in self.added):
+                lines.append(None)
+                continue
             rows = [x.split(" ") for x in t.split("\n")]
             if t and [w for r in rows for w in r] == t.split():  # lone separators only
                 for row in rows:
@@ -147,7 +151,12 @@ class Encoder:
         return out
 
     def _mended(self, text: str) -> bytes:
-        """A text with runs of white space: cut at lone separators all the same, each part encoded once."""
+        """A text with runs of white space: cut at lone separators all the same, each part encoded once.
+
+        One with the string of an added token goes through the library as it is, which is the definition of its ids.
+        """
+        if any(a in text for a in self.added):
+            return self._ids(text)
         parts = LONE.split(text)
         spaced, bare = self.spaced, self.bare
         plain = [len(p.split()) == 1 and not p[-1].isspace() for p in parts]
