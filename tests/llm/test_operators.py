@@ -220,16 +220,43 @@ def test_a_set_of_fixed_size_never_loses_a_hash(spark):
 
 def test_exact_dedup(spark, docs, empty, small):
     for df in (docs, empty, small):
-        same(exact_duplicates(df, capacity=2, max_depth=5), brute.exact(pairs(df)))
-        same(exact_duplicates(df), brute.exact(pairs(df)))
+        same(exact_duplicates(df, capacity=2), brute.exact(pairs(df)))
+    same(exact_duplicates(small), brute.exact(pairs(small)))
+
+
+def test_exact_dedup_compares_bytes_along_a_chain(docs, monkeypatch):
+    """With a hash of one bit nearly all texts collide; chains tell them apart."""
+    from corvane.llm import exact_dedup
+
+    hashed = F.xxhash64
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.shiftright(hashed(*c), 63))
+    same(exact_duplicates(docs, capacity=1), brute.exact(pairs(docs)))
+
+
+def test_exact_dedup_reads_its_index(docs, monkeypatch):
+    from corvane.llm import exact_dedup
+
+    class Lossy(exact_dedup.Scratch):
+        def table(self, df, name):
+            return super().table(df.where("chain > 1") if name == "index" else df, name)
+
+    monkeypatch.setattr(exact_dedup, "Scratch", Lossy)
+    assert exact_duplicates(docs).collect() == []
 
 
 def test_directory_splits_overfull_buckets(spark):
-    keys = spark.range(1000).select(F.xxhash64("id").alias("h"))
-    slots = {r["slot"]: r for r in directory(keys, capacity=100, max_depth=6).collect()}
-    held = Counter(slots[(r["h"] % 2**64) >> 58]["bucket"] for r in keys.collect())
-    assert max(held.values()) <= 100 and sum(held.values()) == 1000
-    assert all(r["bucket"] == (1 << r["depth"]) + (s >> (6 - r["depth"])) for s, r in slots.items())
+    from corvane.llm.common import Scratch
+    from corvane.llm.exact_dedup import in_buckets
+
+    close = [5 << 40 | i for i in range(40)]  # these part at the 60th bit only
+    keys = spark.createDataFrame([(i,) for i in [*close, -1, -(2**63), 2**63 - 1]], "h long").union(spark.range(1000).select(F.xxhash64("id")))
+    buckets = directory(keys, 7, Scratch(spark, "test"))
+    depths = sorted({r["depth"] for r in buckets.collect()})
+    held = Counter(r["bucket"] for r in in_buckets(keys, buckets, depths).collect())
+    assert sum(held.values()) == 1043 and max(held.values()) <= 7 and depths[-1] > 58 and len(held) == buckets.count()
+    assert sorted(held.values()) == sorted(r["n"] for r in buckets.collect())
+    (one,) = directory(keys, 5000, Scratch(spark, "test")).collect()
+    assert (one["depth"], one["n"]) == (0, 1043)
 
 
 def test_near_duplicates(docs, empty, small):
@@ -278,7 +305,7 @@ def test_token_shards_round_trip(spark, docs, empty, small, tmp_path):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(byte_bpe())
-    tok.encode_special_tokens = True
+    assert tok.encode("end <|endoftext|> end", add_special_tokens=False).ids == [437, 220, 50256, 886]
     for df in (docs, small):
         expected = []
         order = sorted(pairs(df), key=lambda r: (r[0] is not None, r[0] or 0))
@@ -321,6 +348,8 @@ def test_encoder_equals_the_library():
 
     e, r = Encoder(byte_bpe(), limit=500), random.Random(5)
     texts = ["".join(r.choice(" \n\tabé'1.,!語 \x1c") for _ in range(r.randint(0, 30))) for _ in range(2000)]
+    texts += ["end <|endoftext|> end", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "a  b <|endoftext|>", "<|endoftext", "<|ENDOFTEXT|> x"]
+    texts += ["".join(r.choice(["<|endoftext|>", " ", "a", "\n", "<|", "|>"]) for _ in range(9)) for _ in range(300)]
     texts += [" ".join("".join(r.choice("abcé,.'12") for _ in range(r.randint(1, 6))) for _ in range(20)) for _ in range(200)]
     for lo in range(0, len(texts), 100):
         part = texts[lo : lo + 100]
