@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +19,27 @@ SHINGLE = 5
 _EMPTY = np.uint64(2**64 - 1)
 
 
+#: Words whose digests are remembered in a worker; then all are forgotten.
+REMEMBERED = 1_000_000
+_digests: dict[bytes, int] = {}
+
+
+def word_digests(text: bytes) -> np.ndarray:
+    """64-bit digests (XXH3) of the words of a text."""
+    words = text.split()
+    if len(_digests) > REMEMBERED:
+        _digests.clear()
+    for w in set(words).difference(_digests):
+        _digests[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(_digests.__getitem__, words), np.uint64, len(words))
+
+
 def shingle_sets(docs: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct hashes of each document's k-word shingles (whole sequence if shorter)."""
     out: list[np.ndarray] = []
     for _, part in blocks(docs):
         block = Block(part)
-        words = block.word_hashes()
+        words = word_digests(block.text)
         at, h = block.windows(words, k)
         cut = np.searchsorted(at, block.first)
         for i in range(block.n_docs):
@@ -36,6 +52,25 @@ def shingle_sets(docs: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
+def exact_sets(docs: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
+    """The same sets for documents that are compared: shingles numbered by their words themselves, so that none is taken for another."""
+    number: dict[bytes, int] = {}
+    words = [d.split() for d in docs]
+    size = np.array([len(w) for w in words])
+    rows = np.maximum(size - k + 1, size > 0)  # a text shorter than k words is one shingle
+    own = np.repeat(np.arange(len(docs)), rows)
+    at = np.arange(len(own)) - np.repeat(np.cumsum(rows) - rows, rows)
+    ids = [number.setdefault(w, len(number) + 1) for doc in filter(None, words) for w in [*doc, *[b" "] * (k - len(doc))]]  # no word is a space
+    ids = np.array(ids, np.int64)
+    padded = np.maximum(size, k * (size > 0))
+    first = (np.cumsum(padded) - padded)[own] + at if len(own) else np.zeros(0, np.int64)
+    code = ids[first] if len(own) else first
+    for j in range(1, k):  # numbers of pairs, triples, ... of words, each from the one before
+        code = np.unique(code * (len(number) + 1) + ids[first + j], return_inverse=True)[1]
+    cut = np.concatenate(([0], np.cumsum(rows)))
+    return [np.unique(code[x:y]).astype(np.uint64) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
 def fast_sketch(sets: list[np.ndarray], t: int, seed: int) -> np.ndarray:
     """Fast similarity sketching (Dahlgaard, Knudsen, Thorup 2017) of many sets at once.
 
@@ -85,10 +120,11 @@ def _sketches(bands: int, rows: int, seed: int, k: int):
         for batch in batches:
             ids = batch.column(0)
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
+            # long texts come one at a time; a text's own arrays take some 60 bytes a word
             for at, part in blocks([canonical(x.lower()) if x else b"" for x in texts]):
                 sets = shingle_sets(part, k)
                 keys = band_keys(fast_sketch(sets, bands * rows, seed), bands, rows)
-                digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                digest = [hashlib.blake2b(d, digest_size=16).digest() for d in part]  # of the words themselves
                 key = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
                 n = np.array([len(s) for s in sets], np.int64)
                 full = [r if m else [] for r, m in zip(keys, n, strict=True)]
@@ -165,7 +201,7 @@ def _verify(percent: int, k: int):
         split = sum(r[0] == 0 for r in rows) if rows[-1][0] else 0
         if rows[-1][0] and not split:
             return []
-        sets = shingle_sets([canonical(r[2].lower()) for r in rows], k)
+        sets = exact_sets([canonical(r[2].lower()) for r in rows], k)
         return linking_forest([r[1] for r in rows], sets, split, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,16 +245,19 @@ def near_duplicates(
     1. One scan sketches every text: ``bands * rows`` coordinates, of which each
        band of ``rows`` becomes a key.  A pair at the threshold shares no key with
        probability (1 - 0.85^5)^24 < 1e-6.
-    2. Equal sets collapse to one class.  Classes with a common key link to the
+    2. Equal word sequences collapse to one class.  Classes with a common key link to the
        smallest class with that key: a star, not pairs, so copies in any number cost one row each.
-    3. Components of these stars are the only places where links can be.  A component is
-       verified whole, on full sets: small ones in one block; larger ones by size level
-       (sets that link have sizes within one level) and sub-blocks, block against block, so
+    3. Each class is first verified against the one star's centre with which it shares most keys: two texts, whatever the
+       star's size.  That settles nearly all; components of these links are known.
+    4. What may be left are links between different known components that share a key.  Keys whose classes are
+       all in one component are done.  Classes of the other keys are verified with all of their candidate component: small ones in one
+       block; larger ones by size level (sets that link have sizes within one level) and sub-blocks, block against block, so
        that a task holds two blocks at most, however large the component.
-    4. Each block pair returns a spanning forest of its verified links; their components are the result.
+    5. Verification compares sets of the words themselves, not of hashes.  Tasks return spanning forests of
+       verified links; their components are the result.
 
     Nulls and texts without words: set size 0, never linked.  Rows with one doc_id are one
-    document.  A null doc_id is never linked, has a null component and is kept.
+    document.  A null doc_id is never linked, has a null component and is kept.  Other columns are not read; an empty table gives no row.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -237,10 +276,31 @@ def near_duplicates(
     keys = classes.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
     shared = scratch.table(shared, "keys")  # as a table, so that the join below can be split at a hot key
-    stars = keys.join(shared, "key").where("node > low").select(F.col("node").alias("u"), F.col("low").alias("v"))
-    member = scratch.table(connected_components(stars, scratch, "candidates"), "members")
-
-    sized = member.join(classes.select("node", "n"), "node")
+    stars = scratch.table(keys.join(shared, "key"), "stars")  # (key, node, low)
+    edges = scratch.table(stars.where("node > low").groupBy("node", "low").agg(F.count("*").alias("n")), "edges")
+    member = scratch.table(connected_components(edges.select(F.col("node").alias("u"), F.col("low").alias("v")), scratch, "candidates"), "members")
+
+    def verified(tasks: DataFrame) -> DataFrame:
+        """Links among the texts of ``tasks(node, task, side)``."""
+        texts = tasks.join(rows_in, tasks.node == rows_in.doc_id).where("text IS NOT NULL").select("task", "side", "node", "text")
+        dealt = texts.repartition(shuffle_partitions(spark), "task").sortWithinPartitions("task")
+        return dealt.mapInArrow(_verify(percent, shingle), "u long, v long")
+
+    # each class with the centre that shares most keys; a centre's classes in groups of block_docs
+    best = edges.groupBy("node").agg(F.max(F.struct("n", (-F.col("low")).alias("low"))).alias("x")).select("node", (-F.col("x.low")).alias("low"))
+    best = scratch.table(best, "best")
+    groups = best.groupBy("low").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("groups"))
+    task = F.expr("xxhash64(low, g)")
+    around_ = best.join(groups, "low").withColumn("g", F.expr("CAST(pmod(xxhash64(node), groups) AS INT)")).select("node", task.alias("task"), F.lit(1).alias("side"))
+    centres = groups.withColumn("g", F.explode(F.expr("sequence(0, groups - 1)"))).select(F.col("low").alias("node"), task.alias("task"), F.lit(0).alias("side"))
+    first = scratch.table(verified(around_.unionByName(centres)), "first-links")
+    known = scratch.table(connected_components(first, scratch, "first"), "known").withColumnRenamed("comp", "known")
+    mixed = stars.join(known, "node", "left").groupBy("key").agg(*[f(F.coalesce("known", "node")).alias(n) for f, n in ((F.min, "a"), (F.max, "b"))]).where("a < b")
+    left = scratch.table(stars.join(mixed.select("key"), "key", "left_semi").select("node").distinct(), "left")
+
+    # two classes that are a component of their own have been compared
+    pairs = member.groupBy("comp").agg(F.count("*").alias("c")).where("c > 2").select("comp")
+    sized = member.join(left, "node", "left_semi").join(pairs, "comp", "left_semi").join(classes.select("node", "n"), "node")
     level = F.floor(F.log(F.col("n")) / math.log(100 / (percent - 0.1))).cast("int")
     sized = sized.withColumn("level", level)
     count = sized.groupBy("comp", "level").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
@@ -268,10 +328,8 @@ def near_duplicates(
              CASE WHEN subs0 > 0 THEN transform(sequence(0, subs0 - 1), s -> struct(xxhash64(comp, level - 1, s, level, sub) AS task, 1 AS side)) ELSE array() END)
            END AS tasks""",
     )
-    texts = blocked.join(rows_in, blocked.node == rows_in.doc_id).select("node", "text", F.explode("tasks").alias("x"))
-    dealt = texts.where("text IS NOT NULL").select("x.task", "x.side", "node", "text")
-    dealt = dealt.repartition(shuffle_partitions(spark), "task").sortWithinPartitions("task")
-    links = dealt.mapInArrow(_verify(percent, shingle), "u long, v long")
+    dealt = blocked.select("node", F.explode("tasks").alias("x")).select("node", "x.task", "x.side")
+    links = first.union(verified(dealt))
     # Rows of one doc_id with different texts are one document: their classes are linked too.
     named = scratch.table(done.drop("bands").join(classes.select("hi", "lo", "node"), ["hi", "lo"], "left").drop("hi", "lo"), "rows")
     several = named.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
