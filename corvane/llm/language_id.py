@@ -16,6 +16,10 @@ from corvane.llm.common import blocks, mix
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
+#: Characters of a text that are scored at a time.
+STRIP = 1 << 19
+#: Numbers in a model, which is broadcast: 64 MB, or 256 labels of all buckets.
+MAX_CELLS = 1 << 24
 
 
 def has_letter(text: str) -> bool:
@@ -49,8 +53,24 @@ class Model:
     prior: np.ndarray
 
     def scores(self, texts: list[str], orders: Sequence[int] = ORDERS) -> np.ndarray:
-        """Log joint probability of each text and label: sums of the table's rows, bucket by bucket."""
+        """Log joint probability of each text and label: sums of the table's rows, bucket by bucket.
+
+        A text longer than ``STRIP`` goes in strips; each order's strips overlap by what one n-gram needs, so that each n-gram counts once.
+        """
+        long = [i for i, t in enumerate(texts) if len(t) > STRIP]
+        if long and len(texts) > 1:
+            total = self.scores([t if len(t) <= STRIP else "" for t in texts], orders)
+            for i in long:
+                total[i] = self.scores([texts[i]], orders)[0]
+            return total
         total = np.tile(self.prior.astype(np.float64), (len(texts), 1))
+        if long:
+            low = texts[0].lower()
+            for n in orders:
+                for at in range(0, len(low), STRIP):
+                    for bucket, _ in hashed_ngrams([low[at : at + STRIP + n - 1]], (n,), len(self.table)):
+                        total += self.table[bucket].sum(axis=0, dtype=np.float64)
+            return total
         for bucket, cut in hashed_ngrams(texts, orders, len(self.table)):
             some = np.flatnonzero(np.diff(cut))
             if len(some):
@@ -97,7 +117,6 @@ def train(
     docs: DataFrame,
     label: str = "lang",
     max_train_docs: int = 20_000,
-    max_labels: int = 200,
     buckets: int = BUCKETS,
     orders: Sequence[int] = ORDERS,
     alpha: float = 0.1,
@@ -105,14 +124,15 @@ def train(
     """Fit on the rows of ``docs(doc_id, text, <label>)`` that :func:`held_out` leaves.
 
     ``max_train_docs`` bounds the sample: a label with more rows gives, by a hash of doc_id,
-    that many in expectation; one with fewer gives all.  The model is ``max_labels * buckets``
-    numbers at most and is summed on the cluster; more labels raise an error.
+    that many in expectation; one with fewer gives all.  The model has ``MAX_CELLS`` numbers at most and is summed on the cluster: where
+    labels times ``buckets`` would be more, buckets are halved until they fit.  Rows without a doc_id or a label are not learned from; a
+    null text counts for its label's share alone.  Repeated rows count as often as they come; an empty table gives a model without labels.
     """
     rows = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     rows = rows.select("doc_id", F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("label"))
-    seen = rows.groupBy("label").agg(F.count("*").alias("n")).limit(max_labels + 1).collect()
-    if len(seen) > max_labels:
-        raise ValueError(f"more than {max_labels} labels")
+    seen = rows.groupBy("label").agg(F.count("*").alias("n")).collect()  # one row a language
+    while len(seen) * buckets > MAX_CELLS and buckets > 1:
+        buckets //= 2
     labels = sorted(r["label"] for r in seen)
     n = {r["label"]: r["n"] for r in seen}
     table = np.zeros((buckets, len(labels)), np.float64)
@@ -121,7 +141,7 @@ def train(
         place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
         sample = rows.where("text IS NOT NULL").where(place < F.element_at(share, F.col("label"))).select("label", "text")
         sums = sample.mapInArrow(_count(buckets, orders), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-        by_label = sums.groupBy("label").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("c"))  # max_labels rows of `buckets` numbers
+        by_label = sums.groupBy("label").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("c"))  # MAX_CELLS numbers at most
         for r in by_label.collect():
             table[r["b"], labels.index(r["label"])] = r["c"]
     total = table.sum(axis=0)
@@ -130,7 +150,7 @@ def train(
     return Model(labels, np.ascontiguousarray(table, np.float32), prior)
 
 
-def _predict(model, orders: Sequence[int]):
+def _predict(model, orders: Sequence[int], names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
@@ -139,20 +159,20 @@ def _predict(model, orders: Sequence[int]):
                 a, b = model.value.predict(part, orders)
                 label += a
                 score += b
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(label, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, *names])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, orders: Sequence[int] = ORDERS) -> DataFrame:
-    """``docs`` (with a column text) and ``lang_pred, score``: the likeliest label and its posterior probability.
+def predict(docs: DataFrame, model: Model, orders: Sequence[int] = ORDERS, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` (with a column text) and two columns called ``names``: the likeliest label and its posterior probability.
 
-    The model is broadcast; a batch's n-grams look up its rows.  Null texts, texts without a letter, and all texts
-    where nothing could be learned, get ``und`` and 0.  Columns of ``docs`` named lang_pred or score are replaced.
+    The model is broadcast; a batch's n-grams look up its rows.  Null and empty texts, texts without a letter, and all texts
+    where nothing could be learned, get ``und`` and 0; equally likely labels: the first in code-point order.  Columns of ``docs`` with
+    one of the ``names`` are replaced, all others stay; rows come out as often as they went in.  Very long texts are taken
+    ``STRIP`` characters at a time.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return docs.mapInArrow(_predict(shared, orders), ", ".join([*fields, "lang_pred string", "score double"]))
+    return docs.mapInArrow(_predict(shared, orders, names), ", ".join([*fields, f"`{names[0]}` string", f"`{names[1]}` double"]))

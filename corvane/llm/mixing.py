@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -41,56 +40,68 @@ def route(patterns: Mapping[tuple, float], quota: Mapping, epochs: int = 3) -> d
 
     Nodes: a root, the patterns (sets of sources that a document belongs to) and the sources.  A
     pattern gives its size once at cost 0, again at cost 1, again at cost 2, ... up to ``epochs``
-    times: convex, so new documents go before repetitions.  A source takes its quota.  Successive shortest paths
-    with potentials; the graph has one node for each pattern and source, none for documents.
-    """
-    names = ["root", *[("p", p) for p in patterns], *[("s", s) for s in quota], "sink"]
-    at = {n: i for i, n in enumerate(names)}
-    graph: list[list[list]] = [[] for _ in names]
-
-    def edge(a, b, cap, cost):
-        graph[at[a]].append([at[b], cap, cost, len(graph[at[b]])])
-        graph[at[b]].append([at[a], 0.0, -cost, len(graph[at[a]]) - 1])
+    times: convex, so new documents go before repetitions.  A source takes its quota.
 
-    for p, size in patterns.items():
-        for e in range(epochs):
-            edge("root", ("p", p), float(size), float(e))
-        for s in p:
-            if s in quota:
-                edge(("p", p), ("s", s), float("inf"), 0.0)
-    for s, q in quota.items():
-        edge(("s", s), "sink", float(q), 0.0)
-    eps, potential = 1e-6, [0.0] * len(names)
-    while True:
-        dist, back = [float("inf")] * len(names), [None] * len(names)
-        dist[0], heap = 0.0, [(0.0, 0)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > dist[a]:
-                continue
-            for i, (b, cap, cost, _) in enumerate(graph[a]):
-                if cap > eps and (nd := d + cost + potential[a] - potential[b]) < dist[b] - 1e-12:
-                    dist[b], back[b] = nd, (a, i)
-                    heapq.heappush(heap, (nd, b))
-        sink = len(names) - 1
-        if dist[sink] == float("inf"):
-            break
-        potential = [p + min(d, dist[sink]) for p, d in zip(potential, dist, strict=True)]
-        path, b = [], sink
-        while b:
-            a, i = back[b]
-            path.append((a, i))
-            b = a
-        push = min(graph[a][i][1] for a, i in path)
-        for a, i in path:
-            graph[a][i][1] -= push
-            graph[graph[a][i][0]][graph[a][i][3]][1] += push
-    flow = {}
-    for p in patterns:
-        for b, _, _, rev in graph[at["p", p]]:
-            if names[b][0] == "s" and (f := graph[b][rev][1]) > eps:
-                flow[p, names[b][1]] = f
-    return flow
+    Every cost lies on an arc from the root, so the shortest augmenting paths cost 0 until there is none, then 1, and so on.
+    Each of these rounds adds one repetition to what the patterns may give and augments along shortest paths
+    in whole layers (blocking flows), with work near the number of arcs for a layer.  The graph has one node for
+    each pattern and source, none for documents.
+    """
+    names, goals = list(patterns), list(quota)
+    at = {s: len(names) + j for j, s in enumerate(goals)}
+    arcs = [[at[s] for s in p if s in at] for p in names] + [[] for _ in goals]
+    back: list[list[int]] = [[] for _ in arcs]  # patterns of a source
+    for i, sources in enumerate(arcs):
+        for j in sources:
+            back[j].append(i)
+    flow: dict[tuple[int, int], float] = {}
+    give, take = [0.0] * len(names), [0.0] * len(names) + [float(quota[s]) for s in goals]
+    eps = 1e-6
+    for _ in range(epochs):
+        give = [g + float(patterns[p]) for g, p in zip(give, names, strict=True)]
+        while True:
+            level = [-1] * len(arcs)
+            front = [i for i in range(len(names)) if give[i] > eps]
+            for i in front:
+                level[i] = 0
+            goal = False
+            while front and not goal:
+                following = []
+                for i in front:
+                    for j in arcs[i] if i < len(names) else [p for p in back[i] if flow.get((p, i), 0.0) > eps]:
+                        if level[j] < 0:
+                            level[j] = level[i] + 1
+                            following.append(j)
+                            goal = goal or take[j] > eps
+                front = following
+            if not goal:
+                break
+            rest = [iter(arcs[i]) if i < len(names) else iter(back[i]) for i in range(len(arcs))]
+            for start in range(len(names)):
+                while give[start] > eps and level[start] == 0:
+                    path = [start]
+                    while path and take[path[-1]] <= eps:
+                        i = path[-1]
+                        for j in rest[i]:
+                            if level[j] == level[i] + 1 and (i < len(names) or flow.get((j, i), 0.0) > eps):
+                                path.append(j)
+                                break
+                        else:
+                            level[path.pop()] = -1  # a dead end
+                    if not path:
+                        break
+                    steps = list(zip(path, path[1:], strict=False))
+                    push = min([give[start], take[path[-1]], *[flow[j, i] for i, j in steps if i >= len(names)]])
+                    for i, j in steps:
+                        if i < len(names):
+                            flow[i, j] = flow.get((i, j), 0.0) + push
+                        else:
+                            flow[j, i] -= push
+                    give[start] -= push
+                    take[path[-1]] -= push
+                    for i in path:  # what a search passed over may be open still
+                        rest[i] = iter(arcs[i]) if i < len(names) else iter(back[i])
+    return {(names[i], goals[j - len(names)]): f for (i, j), f in flow.items() if f > eps}
 
 
 def word_count(text: str = "text") -> Column:
@@ -103,7 +114,7 @@ def mix_sources(
     source: str = "source",
     limit: int = 3,
     seed: int = 17,
-    max_patterns: int = 100_000,
+    max_patterns: int = 1_000_000,
 ) -> DataFrame:
     """``docs`` with ``size, source_size, target, copies, taken``: how often the mix takes each row.
 
@@ -112,7 +123,7 @@ def mix_sources(
 
     1. One scan keeps (pattern, seeded hash, size) of each row, in a narrow table.
     2. Patterns are summed; the flow network (:func:`route`), of patterns and sources only, is
-       solved on the driver.  More than ``max_patterns`` patterns raise an error.
+       solved on the driver.  It needs some 500 bytes a pattern there; more than ``max_patterns`` patterns raise an error, none is left out.
     3. A pattern that gives q times its size gives every document floor(q) times, and the rest to the
        documents whose hash is below a threshold.  The threshold comes from 1,024 sums for each pattern, then 1,024 inside the bin where the
        rest runs out, then that bin's documents (one in a million of the pattern).  No source is gathered in one task.
@@ -120,7 +131,8 @@ def mix_sources(
     4. The choice is a lookup of the row's pattern (at most ``max_patterns`` rows): no shuffle of texts.
 
     For a row of several sources, ``source_size`` and ``target`` are sums over its sources, each counted as in step 2.  Null or
-    empty texts have size 0 and no copy.  Equal (doc_id, text) rows hash alike and are taken alike.
+    empty texts have size 0 and no copy.  Equal (doc_id, text) rows hash alike and are taken alike.  Very long texts are one document like
+    others.  Input columns named like the added ones are replaced, all others stay; an empty table gives no row.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
@@ -134,14 +146,19 @@ def mix_sources(
         raise ValueError(f"more than {max_patterns} membership patterns")
     sizes = {tuple(r["pattern"]): r["size"] for r in found if r["pattern"] is not None}
     names = sorted({s for p in sizes for s in p}, key=lambda s: (s is None, s or ""))
-    per_source = {s: sum(n for p, n in sizes.items() if s in p) for s in names}
+    per_source = dict.fromkeys(names, 0)
+    for p, n in sizes.items():
+        for s in p:
+            per_source[s] += n
     if not isinstance(weights, Mapping):
         weights = {s: weights[i % len(weights)] for i, s in enumerate(names)}
     goal = targets(per_source, {s: weights.get(s, 0) for s in names}, limit)
     flow = route(sizes, goal, limit)
-    plan = []
+    plan, given = [], dict.fromkeys(sizes, 0.0)
+    for (p, _), f in flow.items():
+        given[p] += f
     for p, n in sizes.items():
-        out = sum(f for (q, _), f in flow.items() if q == p)
+        out = given[p]
         base = min(limit, int(out // n)) if n else 0
         rest = min(out - base * n, float(n)) if base < limit else 0.0
         plan.append((list(p), base, rest, sum(per_source[s] for s in p), float(sum(goal[s] for s in p))))

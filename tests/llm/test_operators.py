@@ -12,7 +12,7 @@ from corvane.llm import language_id
 from corvane.llm.contamination import clean_documents, find_contamination
 from corvane.llm.exact_dedup import directory, exact_duplicates
 from corvane.llm.mixing import mix_sources, route, targets
-from corvane.llm.near_dedup import fast_sketch, near_duplicates, shingle_sets
+from corvane.llm.near_dedup import exact_sets, fast_sketch, near_duplicates, shingle_sets
 from corvane.llm.queries import QUERIES, byte_bpe
 from corvane.llm.sharding import shard_documents
 from corvane.llm.substring_dedup import remove_repeated_windows, sliding_min, smallest_owner
@@ -266,6 +266,35 @@ def test_near_duplicates(docs, empty, small):
     same(near_duplicates(small, block_docs=2, block_shingles=200), brute.near(pairs(small)))
 
 
+def test_near_duplicates_tell_words_apart_that_a_polynomial_hash_does_not(spark):
+    """Thue-Morse words collide under polynomial hashes modulo 2 ** 64, whatever their base."""
+    a = "a"
+    for _ in range(12):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, b), (3, a.upper())]
+    rows += [(10 + i, " ".join(["w", *("xy"[i] if j == 50 else f"w{j}" for j in range(100))])) for i in range(2)]
+    same(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), brute.near(rows))
+
+
+def test_near_duplicates_in_a_group_of_many_different_texts(spark):
+    """A chain: neighbours link, ends don't; and an outsider that shares much with all but links with none."""
+    base = [f"t{j}" for j in range(120)]
+    rows = [(i, " ".join([f"new{i}x{j}" if j < i else w for j, w in enumerate(base)])) for i in range(40)]
+    rows += [(100 + i, " ".join([*base[:90], *(f"other{i}y{j}" for j in range(30))])) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same(near_duplicates(df, block_docs=3, block_shingles=500), brute.near(rows))
+
+
+def test_exact_sets_hold_what_the_words_say():
+    docs = ["a b c d e f a b c d e", "", "a b", "a b a b a b a b", "x", "a b c d e"]
+    got = exact_sets([d.encode() for d in docs])
+    plain = [brute.shingles(d) for d in docs]
+    for i in range(len(docs)):
+        for j in range(len(docs)):
+            assert len(np.intersect1d(got[i], got[j])) == len(plain[i] & plain[j])
+
+
 def test_sketch_fills_every_coordinate_and_estimates_similarity():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 1000).astype(np.uint64)
