@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,19 +18,23 @@ SHINGLE = 5
 _EMPTY = np.uint64(2**64 - 1)
 
 
-#: Words whose digests are remembered in a worker; then all are forgotten.
-REMEMBERED = 1_000_000
-_digests: dict[bytes, int] = {}
+def word_digests(block: Block) -> np.ndarray:
+    """64-bit digests of a block's words: eight bytes at a time are mixed into the digest of what came before.
 
-
-def word_digests(text: bytes) -> np.ndarray:
-    """64-bit digests (XXH3) of the words of a text."""
-    words = text.split()
-    if len(_digests) > REMEMBERED:
-        _digests.clear()
-    for w in set(words).difference(_digests):
-        _digests[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_digests.__getitem__, words), np.uint64, len(words))
+    Words of up to eight bytes have digests of their own; longer ones collide by chance alone, as each step is a
+    mixing that isn't linear (sums of powers, by contrast, collide for words made to).  No table of words is kept.
+    """
+    lanes = np.ndarray(len(block.text), "<u8", block.text + bytes(8), strides=(1,))  # the eight bytes from each place on
+    left = block.end - block.start
+    h = mix(left.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    at, live = block.start, np.arange(len(left))
+    while len(live):
+        lane, n = lanes[at], np.minimum(left, 8)
+        lane &= np.uint64(2**64 - 1) >> (np.uint64(64) - (n * 8).astype(np.uint64))
+        h[live] = mix(h[live] ^ lane)
+        more = left > 8
+        at, left, live = at[more] + 8, left[more] - 8, live[more]
+    return h
 
 
 def shingle_sets(docs: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
@@ -39,7 +42,7 @@ def shingle_sets(docs: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for _, part in blocks(docs):
         block = Block(part)
-        words = word_digests(block.text)
+        words = word_digests(block)
         at, h = block.windows(words, k)
         cut = np.searchsorted(at, block.first)
         for i in range(block.n_docs):

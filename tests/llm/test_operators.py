@@ -286,6 +286,16 @@ def test_near_duplicates_in_a_group_of_many_different_texts(spark):
     same(near_duplicates(df, block_docs=3, block_shingles=500), brute.near(rows))
 
 
+def test_word_digests_tell_words_apart():
+    from corvane.llm.common import Block
+    from corvane.llm.near_dedup import word_digests
+
+    words = [b"a" * n for n in range(1, 70)] + [b"%d" % i for i in range(5000)] + [b"x" * 40 + b"%d" % i for i in range(5000)] + [b"\0", b"\0\0"]
+    docs = [b" ".join(words[:3000]), b" ".join(words[3000:]), b"", b" ".join(words)]
+    h = word_digests(Block(docs))
+    assert len(h) == 2 * len(words) and (h[: len(words)] == h[len(words) :]).all() and len(np.unique(h)) == len(words)
+
+
 def test_exact_sets_hold_what_the_words_say():
     docs = ["a b c d e f a b c d e", "", "a b", "a b a b a b a b", "x", "a b c d e"]
     got = exact_sets([d.encode() for d in docs])
