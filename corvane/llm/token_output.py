@@ -21,8 +21,10 @@ from corvane.llm.common import Scratch, shuffle_partitions
 MAGIC = b"CVSSTB01"
 BLOCK = 64 << 10
 END = 0
-#: Words whose ids are remembered in a worker.
-REMEMBERED = 1_500_000
+#: Words whose ids are remembered in a worker, some 200 bytes each.
+REMEMBERED = 400_000
+#: Documents that are encoded at a time.
+GROUP = 512
 #: ASCII punctuation that ends words; a run of it behind letters is a pre-token of its own.
 TAIL = ".,;:!?"
 
@@ -32,7 +34,8 @@ class Encoder:
 
     In such a tokenizer a space or newline that stands alone between two other characters always
     starts, or is, a pre-token of its own, so a text may be cut there and the parts' ids are the text's.
-    Ids of words are remembered, behind a space and bare, up to ``limit`` words; then all are forgotten.
+    Ids of words are remembered, behind a space and bare, up to ``limit`` words; then all but those of the texts at hand,
+    among which are the frequent ones, are forgotten.
     Pre-tokens are split here by the published pattern, since the library's splitter is the slow
     part, and the library's BPE model encodes them.  Words with characters above ``SAFE`` (whose classes may differ between
     Unicode versions), texts with other white space, and texts that hold the string of an added (special) token, which gets that
@@ -120,9 +123,6 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.spaced) + len(self.bare) > self.limit:
-            self.spaced.clear()
-            self.bare.clear()
         lines: list[list[list[str]] | None] = []
         behind: set[str] = set()
         first: set[str] = set()
@@ -138,6 +138,9 @@ class Encoder:
                 lines.append(rows)
             else:
                 lines.append(None)
+        if len(self.spaced) + len(self.bare) > self.limit:
+            self.spaced = {w: self.spaced[w] for w in behind if w in self.spaced}
+            self.bare = {w: self.bare[w] for w in first if w in self.bare}
         spaced, bare = self.spaced, self.bare
         self._learn(behind.difference(spaced), spaced, " ")
         self._learn(first.difference(bare), bare, "")
@@ -345,13 +348,13 @@ def _write(root: str, tokenizer: str, end: int, block: int):
         writer, first, last = None, None, None
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            texts = [x or "" for x in batch.column(1).to_pylist()]
             if writer is None:
                 system.create_dir(path, recursive=True)
                 out = system.open_output_stream(part)
                 writer, first = TableWriter(out, block), ids[0]
-            for lo in range(0, len(ids), 512):
-                for i, v in zip(ids[lo : lo + 512], enc.encode(texts[lo : lo + 512]), strict=True):
+            for lo in range(0, len(ids), GROUP):
+                texts = [x or "" for x in batch.column(1).slice(lo, GROUP).to_pylist()]
+                for i, v in zip(ids[lo : lo + GROUP], enc.encode(texts), strict=True):
                     writer.add(to_key(i), v + tail)
             last = ids[-1]
         if writer is not None:
