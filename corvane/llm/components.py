@@ -8,38 +8,35 @@ from pyspark.sql import functions as F
 from corvane.llm.common import Scratch
 
 
-def _fingerprint(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
 def connected_components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """Return ``(node, comp)`` for each node of ``links(u, v)``; ``comp`` is the smallest node reachable.
 
     Large-star and small-star steps (Kiveris et al., 2014) alternate until the
-    links no longer change.  A step is two aggregations with map-side combine and
+    links are stars.  A step is two aggregations with map-side combine and
     two equi-joins, which skew handling can split; no group is gathered in a task and
-    only a count and a checksum reach the driver.  Each step is written to the
-    shared folder, so the plan doesn't grow.  Self-links only name their node.
+    only a flag reaches the driver.  Each step is written to the
+    shared folder, so the plan doesn't grow.  Self-links only name their node; without links there is no row.
     """
     links = links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
     e = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = scratch.table(e, f"{label}-0")
-    step, seen = 0, _fingerprint(e)
+    step = 0
     while True:
         both = e.where("u <> v").select("u", "v").union(e.where("u <> v").select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+        # stars: each node is less than its neighbours, or has one neighbour, which is less
+        low = both.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+        low = low.select("u", F.least("u", "low").alias("low"), F.expr("low < u AND low < high").alias("open"))
         low = scratch.table(low, f"{label}-low-{step}")  # as a table: a join of two plain exchanges can be split where it is hot
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        if low.where("open").isEmpty():
+            ends = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), "v"))
+            return e.select(F.explode(ends).alias("x")).groupBy(F.col("x.u").alias("node")).agg(F.min("x.v").alias("comp"))
+        large = both.join(low.drop("open"), "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         large = scratch.table(large.union(e.where("u = v")).distinct(), f"{label}-large-{step}")
         low = scratch.table(large.groupBy("u").agg(F.min("v").alias("low")), f"{label}-small-{step}")
         small = large.join(low, "u").select(
             F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("x")
         )
         step += 1
-        e2 = scratch.table(small.select("x.u", "x.v").distinct(), f"{label}-{step}")
+        e = scratch.table(small.select("x.u", "x.v").distinct(), f"{label}-{step}")
         for name in ("", "low-", "large-", "small-"):
             scratch.drop(f"{label}-{name}{step - 1}")
-        e, now = e2, _fingerprint(e2)
-        if now == seen:
-            return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp"))
-        seen = now

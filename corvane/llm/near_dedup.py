@@ -332,7 +332,7 @@ def near_duplicates(
            END AS tasks""",
     )
     dealt = blocked.select("node", F.explode("tasks").alias("x")).select("node", "x.task", "x.side")
-    links = first.union(verified(dealt))
+    links = known.select(F.col("node").alias("u"), F.col("known").alias("v")).union(verified(dealt))  # what is settled comes as stars
     # Rows of one doc_id with different texts are one document: their classes are linked too.
     named = scratch.table(done.drop("bands").join(classes.select("hi", "lo", "node"), ["hi", "lo"], "left").drop("hi", "lo"), "rows")
     several = named.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
