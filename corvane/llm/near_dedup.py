@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Block, Scratch, blocks, canonical, mix, shuffle_partitions, span_hashes
+from corvane.llm.common import Block, Scratch, blocks, canonical, marked, marks, mix, shuffle_partitions, span_hashes
 from corvane.llm.components import connected_components
 
 SHINGLE = 5
@@ -283,9 +283,11 @@ def near_duplicates(
     edges = scratch.table(stars.where("node > low").groupBy("node", "low").agg(F.count("*").alias("n")), "edges")
     member = scratch.table(connected_components(edges.select(F.col("node").alias("u"), F.col("low").alias("v")), scratch, "candidates"), "members")
 
-    def verified(tasks: DataFrame) -> DataFrame:
-        """Links among the texts of ``tasks(node, task, side)``."""
-        texts = tasks.join(rows_in, tasks.node == rows_in.doc_id).where("text IS NOT NULL").select("task", "side", "node", "text")
+    def verified(tasks: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+        """Links among the texts of ``tasks(node, task, side)``; only texts that ``nodes(node)`` mark leave the place where they are read."""
+        table = scratch.table(marks(nodes.select(F.xxhash64("node").alias("h")), "h"), f"{name}-marks")
+        some = marked(rows_in.withColumn("__h", F.xxhash64("doc_id")), "__h", table).where("__marked AND text IS NOT NULL")
+        texts = tasks.join(some, tasks.node == some.doc_id).select("task", "side", "node", "text")
         dealt = texts.repartition(shuffle_partitions(spark), "task").sortWithinPartitions("task")
         return dealt.mapInArrow(_verify(percent, shingle), "u long, v long")
 
@@ -296,7 +298,7 @@ def near_duplicates(
     task = F.expr("xxhash64(low, g)")
     around_ = best.join(groups, "low").withColumn("g", F.expr("CAST(pmod(xxhash64(node), groups) AS INT)")).select("node", task.alias("task"), F.lit(1).alias("side"))
     centres = groups.withColumn("g", F.explode(F.expr("sequence(0, groups - 1)"))).select(F.col("low").alias("node"), task.alias("task"), F.lit(0).alias("side"))
-    first = scratch.table(verified(around_.unionByName(centres)), "first-links")
+    first = scratch.table(verified(around_.unionByName(centres), best.select("node").union(best.select("low")), "first"), "first-links")
     known = scratch.table(connected_components(first, scratch, "first"), "known").withColumnRenamed("comp", "known")
     mixed = stars.join(known, "node", "left").groupBy("key").agg(*[f(F.coalesce("known", "node")).alias(n) for f, n in ((F.min, "a"), (F.max, "b"))]).where("a < b")
     left = scratch.table(stars.join(mixed.select("key"), "key", "left_semi").select("node").distinct(), "left")
@@ -332,7 +334,7 @@ def near_duplicates(
            END AS tasks""",
     )
     dealt = blocked.select("node", F.explode("tasks").alias("x")).select("node", "x.task", "x.side")
-    links = known.select(F.col("node").alias("u"), F.col("known").alias("v")).union(verified(dealt))  # what is settled comes as stars
+    links = known.select(F.col("node").alias("u"), F.col("known").alias("v")).union(verified(dealt, left, "left"))  # what is settled comes as stars
     # Rows of one doc_id with different texts are one document: their classes are linked too.
     named = scratch.table(done.drop("bands").join(classes.select("hi", "lo", "node"), ["hi", "lo"], "left").drop("hi", "lo"), "rows")
     several = named.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")

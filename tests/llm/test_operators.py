@@ -286,6 +286,31 @@ def test_near_duplicates_in_a_group_of_many_different_texts(spark):
     same(near_duplicates(df, block_docs=3, block_shingles=500), brute.near(rows))
 
 
+def shuffles(spark):
+    """Bytes written to shuffles by stage id (of the last 1,000 stages)."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty()
+    none = jvm.java.util.ArrayList()
+    stages = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+    return {s.stageId(): s.shuffleWriteBytes() for s in map(stages.apply, range(stages.size()))}
+
+
+def test_near_duplicates_leave_texts_without_candidates_in_place(spark):
+    """Joins without broadcast, as on large tables: texts that share no key with another aren't shuffled, the others are compared."""
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789-_!$%&(),.:;<>?@[]{}   ", np.uint8)
+    rows = [(i, bytes(rng.choice(letters, 30_000)).decode()) for i in range(150)]
+    rows += [(200 + i, rows[i][1] + " one more") for i in range(4)] + [(300, None), (None, rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = max(shuffles(spark), default=-1)
+        same(near_duplicates(df), brute.near(rows))
+        assert 0 < sum(n for i, n in shuffles(spark).items() if i > before) < 30_000 * 150 / 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_word_digests_tell_words_apart():
     from corvane.llm.common import Block
     from corvane.llm.near_dedup import word_digests
