@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Block, Scratch, blocks, canonical, marked, marks, mix, shuffle_partitions, span_hashes
+from corvane.llm.common import Block, Scratch, blocks, canonical, marked, marks, mix, shuffle_partitions, slices, span_hashes, tidy
 from corvane.llm.components import connected_components
 
 SHINGLE = 5
@@ -58,13 +58,17 @@ def shingle_sets(docs: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
 def exact_sets(docs: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
     """The same sets for documents that are compared: shingles numbered by their words themselves, so that none is taken for another."""
     number: dict[bytes, int] = {}
-    words = [d.split() for d in docs]
-    size = np.array([len(w) for w in words])
+    size = np.zeros(len(docs), np.int64)
+    ids = [np.zeros(0, np.int64)]
+    for i, doc in enumerate(docs):  # words as objects of one text at a time
+        words = doc.split()
+        size[i] = len(words)
+        if words:
+            ids.append(np.array([number.setdefault(w, len(number) + 1) for w in [*words, *[b" "] * (k - len(words))]], np.int64))  # no word is a space
+    ids = np.concatenate(ids)
     rows = np.maximum(size - k + 1, size > 0)  # a text shorter than k words is one shingle
     own = np.repeat(np.arange(len(docs)), rows)
     at = np.arange(len(own)) - np.repeat(np.cumsum(rows) - rows, rows)
-    ids = [number.setdefault(w, len(number) + 1) for doc in filter(None, words) for w in [*doc, *[b" "] * (k - len(doc))]]  # no word is a space
-    ids = np.array(ids, np.int64)
     padded = np.maximum(size, k * (size > 0))
     first = (np.cumsum(padded) - padded)[own] + at if len(own) else np.zeros(0, np.int64)
     code = ids[first] if len(own) else first
@@ -120,11 +124,11 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sketches(bands: int, rows: int, seed: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole, 1)):
             ids = batch.column(0)
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
             # long texts come one at a time; a text's own arrays take some 60 bytes a word
-            for at, part in blocks([canonical(x.lower()) if x else b"" for x in texts]):
+            for at, part in blocks(canonical(x.lower()) if x else b"" for x in texts):
                 sets = shingle_sets(part, k)
                 keys = band_keys(fast_sketch(sets, bands * rows, seed), bands, rows)
                 digest = [hashlib.blake2b(d, digest_size=16).digest() for d in part]  # of the words themselves
@@ -136,7 +140,7 @@ def _sketches(bands: int, rows: int, seed: int, k: int):
                     ["doc_id", "n_shingles", "hi", "lo", "bands"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None, width: int = 4096) -> np.ndarray:
@@ -212,7 +216,7 @@ def _verify(percent: int, k: int):
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["u", "v"])
 
         key, rows, links = None, [], []
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole, 3)):
             cols = [batch.column(i).to_pylist() for i in range(3)] + [batch.column(3).cast(pa.large_binary()).to_pylist()]
             for g, side, node, text in zip(*cols, strict=True):
                 if g != key:
@@ -227,7 +231,7 @@ def _verify(percent: int, k: int):
             links += settle(rows)
         yield emit(links)
 
-    return run
+    return tidy(run)
 
 
 def near_duplicates(
@@ -291,10 +295,10 @@ def near_duplicates(
         dealt = texts.repartition(shuffle_partitions(spark), "task").sortWithinPartitions("task")
         return dealt.mapInArrow(_verify(percent, shingle), "u long, v long")
 
-    # each class with the centre that shares most keys; a centre's classes in groups of block_docs
+    # each class with the centre that shares most keys; a centre's classes in groups of block_docs and block_shingles
     best = edges.groupBy("node").agg(F.max(F.struct("n", (-F.col("low")).alias("low"))).alias("x")).select("node", (-F.col("x.low")).alias("low"))
-    best = scratch.table(best, "best")
-    groups = best.groupBy("low").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("groups"))
+    best = scratch.table(best.join(classes.select("node", "n"), "node"), "best")
+    groups = best.groupBy("low").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("groups"))
     task = F.expr("xxhash64(low, g)")
     around_ = best.join(groups, "low").withColumn("g", F.expr("CAST(pmod(xxhash64(node), groups) AS INT)")).select("node", task.alias("task"), F.lit(1).alias("side"))
     centres = groups.withColumn("g", F.explode(F.expr("sequence(0, groups - 1)"))).select(F.col("low").alias("node"), task.alias("task"), F.lit(0).alias("side"))
