@@ -6,36 +6,40 @@ import bisect
 import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch, shuffle_partitions
+from corvane.llm.common import Scratch, shuffle_partitions, slices, tidy
 
 MAGIC = b"CVSSTB01"
 BLOCK = 64 << 10
 END = 0
-#: Words whose ids are remembered in a worker, some 200 bytes each.
-REMEMBERED = 400_000
-#: Documents that are encoded at a time.
-GROUP = 512
+#: Parts whose ids are remembered in a worker, some 200 bytes each.
+REMEMBERED = 200_000
+#: Bytes of text that are encoded at a time.
+GROUP = 8 << 20
 #: ASCII punctuation that ends words; a run of it behind letters is a pre-token of its own.
 TAIL = ".,;:!?"
 
 
 class Encoder:
-    """Ids of whole texts by a byte-level BPE file of ``tokenizers``, encoding each distinct word once.
+    """Ids of whole texts by a byte-level BPE file of ``tokenizers``, encoding each distinct word of a group of texts once.
 
     In such a tokenizer a space or newline that stands alone between two other characters always
     starts, or is, a pre-token of its own, so a text may be cut there and the parts' ids are the text's.
-    Ids of words are remembered, behind a space and bare, up to ``limit`` words; then all but those of the texts at hand,
-    among which are the frequent ones, are forgotten.
+    Parts are cut, told apart and put together again as Arrow arrays.  Ids of parts that come more than once in a group are
+    remembered, up to ``limit``; then all but the frequent ones of the group at hand are forgotten.
     Pre-tokens are split here by the published pattern, since the library's splitter is the slow
     part, and the library's BPE model encodes them.  Words with characters above ``SAFE`` (whose classes may differ between
     Unicode versions), texts with other white space, and texts that hold the string of an added (special) token, which gets that
@@ -50,23 +54,26 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.bpe = Tokenizer.from_file(path)
+        self.bpe = Tokenizer(self.whole.model)  # the same model, held once
         # strings that the library finds in a text before it is split, such as those of special tokens
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.bpe.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.find = regex.compile(public_tokenizers.PATTERN).findall
+        self.unsafe = re.compile(f"[^\\0-{self.SAFE}]").search
         self.newline = self.whole.encode("\n", add_special_tokens=False).ids
         self.line = np.array(self.newline, "<u4").tobytes()
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.limit = limit
         # The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for 256, 257, ... in order.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
-        self.alphabet = {b: 256 + i for i, b in enumerate(others)}
-        self.space = chr(self.alphabet[32])
+        alphabet = np.arange(256, dtype="<u4")
+        alphabet[others] = 256 + np.arange(len(others))
+        self.space, self.line_sign = chr(alphabet[32]), chr(alphabet[10])
         self.tails: dict[str, bytes] = {}
-        self.joined = self.alphabet | {10: 32}  # words hold no newline: it parts pre-tokens
+        self.behind, self.apart = alphabet.copy(), alphabet.copy()
+        self.behind[10] = 32  # words hold no newline: it parts pre-tokens
+        self.apart[32] = 32  # nor a space: that parts those of bare words
         self.opens = np.zeros(self.whole.get_vocab_size(), bool)
         self.opens[[i for t, i in self.whole.get_vocab().items() if t.startswith(self.space)]] = True
         if len(self.newline) != 1:
@@ -75,103 +82,179 @@ class Encoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: Iterable[str], known: dict[str, bytes], before: str) -> None:
-        plain, tailed = [], []
-        for w in words:
-            if not w.isascii() and max(w) > self.SAFE:
-                known[w] = self._ids(before + w)
-            elif w[-1] in TAIL and (base := w.rstrip(TAIL)).isalpha():  # letters, then punctuation: two pre-tokens
-                tailed.append((w, base))
+    def _learn(self, parts: list[str], before: str) -> dict[str, bytes]:
+        """Ids of distinct parts, all of which are ``before`` (a space or nothing) and a word."""
+        out: dict[str, bytes] = {}
+        letters = list(map(str.isalpha, [p[1:] for p in parts] if before else parts))
+        alone = list(compress(parts, letters))  # letters alone are one pre-token
+        plain, tailed, bases = [], [], []
+        for p in compress(parts, map(not_, letters)):
+            # letters, then punctuation: two pre-tokens
+            if p[-1] in TAIL and (base := p.rstrip(TAIL))[len(before) :].isalpha() and (p.isascii() or not self.unsafe(p)):
+                tailed.append(p)
+                bases.append(base)
             else:
-                plain.append(w)
-        plain += {b for _, b in tailed if b not in known}.difference(plain)
-        # words of one kind together, since ASCII needs no translation
-        self._learn_plain([w for w in plain if w.isascii()], known, before)
-        self._learn_plain([w for w in plain if not w.isascii()], known, before)
-        for w, base in tailed:
-            tail = w[len(base) :]
+                plain.append(p)
+        known = self.known
+        alone += {b for b in bases if b not in known}.difference(alone)
+        for group, split in ((alone, False), (plain, True)):
+            latin = list(map(str.isascii, group))  # together, since ASCII needs no translation
+            other = list(compress(group, map(not_, latin)))
+            if self.unsafe("".join(other)):
+                out |= {p: self._ids(p) for p in other if self.unsafe(p)}
+                other = [p for p in other if p not in out]
+            self._learn_plain(list(compress(group, latin)), out, before, split)
+            self._learn_plain(other, out, before, split)
+        for p, base in zip(tailed, bases, strict=True):
+            tail = p[len(base) :]
             if tail not in self.tails:
                 self.tails[tail] = self._ids("a" + tail)[len(self._ids("a")) :]
-            known[w] = known[base] + self.tails[tail]
-
-    def _learn_plain(self, words: list[str], known: dict[str, bytes], before: str) -> None:
-        for lo in range(0, len(words), 500):
-            part = words[lo : lo + 500]
-            if before:  # each word's first id is the one that starts with a space
-                tokens = self.find(" " + " ".join(part))
-                mapped = "\n".join(tokens)  # no word holds a newline
-                if mapped.isascii() and all(map(str.isprintable, part)):
-                    mapped = mapped.replace(" ", self.space).replace("\n", " ")
-                else:
-                    mapped = mapped.encode().decode("latin-1").translate(self.joined)
-                ids = np.array(self.bpe.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
+            out[p] = (out.get(base) or known[base]) + self.tails[tail]
+        return out
+
+    def _learn_plain(self, parts: list[str], out: dict[str, bytes], before: str, split: bool) -> None:
+        for lo in range(0, len(parts), 500):
+            part = parts[lo : lo + 500]
+            text = "".join(part) if before else "\n".join(part) + "\n"
+            # pre-tokens in the byte-level alphabet, parted by white space that the alphabet doesn't hold
+            if before:
+                mapped = "\n".join(self.find(text)) if split else text.replace(" ", "\n ")[1:]
+            else:
+                mapped = " ".join(self.find(text))
+            if text.isascii() and mapped.replace("\n", "").isprintable():
+                mapped = mapped.replace(" ", self.space).replace("\n", " ") if before else mapped.replace("\n", self.line_sign)
+            else:
+                table = self.behind if before else self.apart
+                mapped = table[np.frombuffer(mapped.encode(), np.uint8)].tobytes().decode("utf-32-le")
+            ids = np.array(self.bpe.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
+            if before:  # each part's first id is the one that starts with a space
                 start = np.flatnonzero(self.opens[ids])
                 end = np.append(start[1:], len(ids))
             else:  # bare words are told apart by the newline's id
-                tokens = self.find("\n".join(part) + "\n")
-                mapped = " ".join([t.encode().decode("latin-1").translate(self.alphabet) for t in tokens])
-                ids = np.array(self.bpe.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
                 end = np.flatnonzero(ids == self.newline[0])
                 start = np.append(0, end[:-1] + 1)
             if len(end) != len(part):
-                for w in part:
-                    known[w] = self._ids(before + w)
+                for p in part:
+                    out[p] = self._ids(p)
                 continue
             raw = ids.tobytes()
-            for w, x, y in zip(part, (start * 4).tolist(), (end * 4).tolist(), strict=True):
-                known[w] = raw[x:y]
+            for p, x, y in zip(part, (start * 4).tolist(), (end * 4).tolist(), strict=True):
+                out[p] = raw[x:y]
+
+    def _parts(self, parts: list[str], counts: np.ndarray) -> list[bytes]:
+        """Ids of distinct parts (a word, a space and a word, or a newline) that come ``counts`` times."""
+        found = list(map(self.known.get, parts))
+        new = [p for p, v in zip(parts, found, strict=True) if v is None]
+        ids = self._learn([p for p in new if p[0] == " "], " ")
+        ids |= self._learn([p for p in new if p[0] != " " and p != "\n"], "")
+        ids["\n"] = self.line
+        found = [ids[p] if v is None else v for p, v in zip(parts, found, strict=True)]
+        often = np.flatnonzero(counts > 1)
+        if len(often) > self.limit:
+            often = often[np.argsort(-counts[often], kind="stable")[: self.limit]]
+        often = {parts[i]: found[i] for i in often.tolist()}
+        self.known |= often
+        if len(self.known) > self.limit:
+            self.known = often
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        lines: list[list[list[str]] | None] = []
-        behind: set[str] = set()
-        first: set[str] = set()
-        for t in texts:
-            if any(a in t for a in self.added):
-                lines.append(None)
-                continue
-            rows = [x.split(" ") for x in t.split("\n")]
-            if t and [w for r in rows for w in r] == t.split():  # lone separators only
-                for row in rows:
-                    first.add(row[0])
-                    behind.update(row[1:])
-                lines.append(rows)
-            else:
-                lines.append(None)
-        if len(self.spaced) + len(self.bare) > self.limit:
-            self.spaced = {w: self.spaced[w] for w in behind if w in self.spaced}
-            self.bare = {w: self.bare[w] for w in first if w in self.bare}
-        spaced, bare = self.spaced, self.bare
-        self._learn(behind.difference(spaced), spaced, " ")
-        self._learn(first.difference(bare), bare, "")
-        get = spaced.__getitem__
-        out = []
-        for t, rows in zip(texts, lines, strict=True):
-            if rows is None:
-                out.append(self._mended(t) if t else b"")
-            else:
-                out.append(self.line.join([bare[r[0]] + b"".join(map(get, r[1:])) for r in rows]))
-        return out
-
-    def _mended(self, text: str) -> bytes:
-        """A text with runs of white space: cut at lone separators all the same, each part encoded once.
+        return list(self.encode_column(pa.array(texts, pa.large_string())))
+
+    def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text, group by group; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        for group in slices(pa.RecordBatch.from_arrays([texts], ["text"]), 0, GROUP):
+            yield from self._group(group.column(0))
+
+    def _group(self, texts: pa.Array) -> list[bytes]:
+        odd = _irregular(texts)
+        for a in self.added:
+            odd |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self._regular(texts)
+        rest = iter(self._regular(texts.filter(pa.array(~odd))))
+        mended = iter(self._mended(texts.filter(pa.array(odd)).to_pylist()))
+        return [next(mended if x else rest) for x in odd.tolist()]
+
+    def _regular(self, texts: pa.Array) -> list[bytes]:
+        """Texts whose white space is lone spaces and lone newlines, neither first nor last."""
+        offset = _offsets(texts)
+        if not len(texts) or offset[0] == offset[-1]:
+            return [b""] * len(texts)
+        buf = np.frombuffer(texts.buffers()[2], np.uint8)[offset[0] : offset[-1]]
+        offset = offset - offset[0]
+        line = buf == 10
+        cut = line | (buf == 32)
+        cut[1:] |= line[:-1]
+        cut[offset[:-1][offset[:-1] < offset[1:]]] = True
+        at = np.flatnonzero(cut)
+        first = np.searchsorted(at, offset)
+        parts = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(buf))), pa.py_buffer(buf)).dictionary_encode()
+        counts = np.bincount(parts.indices.to_numpy(), minlength=len(parts.dictionary))
+        ids = pa.array(self._parts(parts.dictionary.to_pylist(), counts), pa.large_binary()).take(parts.indices)
+        cuts = _offsets(ids)[first].tolist()
+        raw = memoryview(ids.buffers()[2])
+        return [bytes(raw[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _mended(self, texts: list[str]) -> list[bytes]:
+        """Texts with other white space: cut at lone separators all the same, each part encoded once.
 
         One with the string of an added token goes through the library as it is, which is the definition of its ids.
         """
-        if any(a in text for a in self.added):
-            return self._ids(text)
-        parts = LONE.split(text)
-        spaced, bare = self.spaced, self.bare
-        plain = [len(p.split()) == 1 and not p[-1].isspace() for p in parts]
-        own = [ok and p[0] == " " and not p[1:2].isspace() for ok, p in zip(plain, parts, strict=True)]
-        self._learn([p for p in dict.fromkeys(p[1:] for p, b in zip(parts, own, strict=True) if b) if p not in spaced], spaced, " ")
-        free = [ok and not p[0].isspace() for ok, p in zip(plain, parts, strict=True)]
-        self._learn([p for p in dict.fromkeys(p for p, b in zip(parts, free, strict=True) if b) if p not in bare], bare, "")
-        return b"".join([spaced[p[1:]] if a else bare[p] if b else self._ids(p) for p, a, b in zip(parts, own, free, strict=True)])
+        cut = [None if any(a in t for a in self.added) else LONE.split(t) for t in texts]
+        count = Counter(p for parts in cut if parts for p in parts)
+        plain = [p for p in count if len(p.split()) == 1 and not p[-1].isspace() and (p[0] == " " and not p[1].isspace() or not p[0].isspace())]
+        ids = dict(zip(plain, self._parts(plain, np.array([count[p] for p in plain], np.int64)), strict=True))
+        for p in count:
+            if p not in ids:
+                ids[p] = self._ids(p)
+        return [self._ids(t) if parts is None else b"".join([ids[p] for p in parts]) for t, parts in zip(texts, cut, strict=True)]
 
 
 #: Before a lone space, and around a lone newline.
 LONE = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+#: White space of three bytes in UTF-8, and the first two of these.
+WIDE = re.compile("[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+WIDE_BYTES = ((0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80))
+
+
+def _offsets(column: pa.Array) -> np.ndarray:
+    """Where the values of a large string or binary array begin and end in its buffer."""
+    if not len(column):
+        return np.zeros(1, np.int64)
+    return np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+
+
+def _irregular(texts: pa.Array) -> np.ndarray:
+    """Which texts hold white space other than lone spaces and newlines, or begin or end with one."""
+    offset = _offsets(texts)
+    odd = np.zeros(len(texts), bool)
+    if offset[0] == offset[-1]:
+        return odd
+    buf = np.frombuffer(texts.buffers()[2], np.uint8)[offset[0] : offset[-1]]
+    offset = offset - offset[0]
+
+    def owners(at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(offset, at, side="right") - 1
+
+    sep = (buf == 32) | (buf == 10)
+    some = offset[:-1] < offset[1:]
+    odd[some] = sep[offset[:-1][some]] | sep[offset[1:][some] - 1]
+    odd[owners(np.flatnonzero(sep[:-1] & sep[1:]))] = True  # of two texts' separators both texts are odd anyway
+    low = np.flatnonzero(buf < 32)
+    low = low[buf[low] != 10]
+    odd[owners(low[((buf[low] >= 9) & (buf[low] <= 13)) | (buf[low] >= 28)])] = True
+    lead = np.flatnonzero(buf[:-1] == 0xC2)
+    odd[owners(lead[(buf[lead + 1] == 0x85) | (buf[lead + 1] == 0xA0)])] = True
+    lead = np.flatnonzero((buf[:-1] >= 0xE1) & (buf[:-1] <= 0xE3))
+    maybe = np.zeros(len(lead), bool)
+    for x, y in WIDE_BYTES:
+        maybe |= (buf[lead] == x) & (buf[lead + 1] == y)
+    for i in np.unique(owners(lead[maybe])).tolist():
+        odd[i] |= WIDE(texts[i].as_py()) is not None
+    return odd
 
 
 @lru_cache(maxsize=2)
@@ -352,10 +435,8 @@ def _write(root: str, tokenizer: str, end: int, block: int):
                 system.create_dir(path, recursive=True)
                 out = system.open_output_stream(part)
                 writer, first = TableWriter(out, block), ids[0]
-            for lo in range(0, len(ids), GROUP):
-                texts = [x or "" for x in batch.column(1).slice(lo, GROUP).to_pylist()]
-                for i, v in zip(ids[lo : lo + GROUP], enc.encode(texts), strict=True):
-                    writer.add(to_key(i), v + tail)
+            for i, v in zip(ids, enc.encode_column(batch.column(1)), strict=True):
+                writer.add(to_key(i), v + tail)
             last = ids[-1]
         if writer is not None:
             writer.close()
@@ -370,7 +451,7 @@ def _write(root: str, tokenizer: str, end: int, block: int):
                 ["shard", "file", "first_id", "last_id", "n_docs", "n_tokens"],
             )
 
-    return run
+    return tidy(run)
 
 
 def write_token_shards(
@@ -421,7 +502,7 @@ def _read(root: str):
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["doc_id", "start", "n_tokens", "ids"])
 
-    return run
+    return tidy(run)
 
 
 def read_token_shards(manifest: DataFrame, folder: str) -> DataFrame:

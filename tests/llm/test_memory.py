@@ -1,11 +1,15 @@
 """What a Python worker holds: bounded work of a task, nothing left behind."""
 
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from corvane.llm import near_dedup
+from corvane.llm import near_dedup, token_output
+from corvane.llm.queries import byte_bpe
+from corvane.llm.token_output import Encoder
 from tests.llm import brute
 
 
@@ -59,3 +63,25 @@ def test_words_of_one_text_at_a_time():
     tracemalloc.stop()
     assert all(len(s) == 97 for s in sets)
     assert peak < 100 * 2000 * 150  # 89 bytes a word; 136 when all texts' words were objects at once
+
+
+def test_encoder_forgets_words_that_come_once():
+    e = Encoder(byte_bpe())
+    texts = [" ".join(f"w{i}x{j} the" for j in range(10)) for i in range(500)]
+    assert e.encode(texts) == [np.array(e.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert sum(len(v) for v in vars(e).values() if isinstance(v, dict)) < 1000  # it held all 5,000 words
+
+
+@pytest.mark.parametrize("group", [1, 40, 1 << 20])
+@pytest.mark.parametrize("limit", [0, 3, 1000])
+def test_encoder_takes_columns_in_groups(monkeypatch, group, limit):
+    monkeypatch.setattr(token_output, "GROUP", group)
+    e, r = Encoder(byte_bpe(), limit), random.Random(7)
+    signs = ["a", "b", "é", "ß", "ŋ", "Ж", "語", "ʰ", ".", ",", "!?", "'", "'s", "7", "\x00", "\x7f", "$$$", " ", " ", "\n", "  ", "\t", "\x85", "\xa0"]
+    signs += ["\u2003", "\u2028", "\u2019", "\u202f", "\u3000", "\x1c", "<|endoftext|>"]
+    texts = ["".join(r.choices(signs, [9] * 17 + [30, 30, 9] + [1] * 11, k=r.randint(0, 25))) for _ in range(1500)] + [None, "", "\n", " ", "a\n", " a", "the. the. the\nthe. the", "ʰ. Ж, ʰ!"]
+    expected = [np.array(e.whole.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(e.encode_column(pa.array(texts))) == expected
+    assert list(e.encode_column(pa.array(texts).slice(700, 805))) == expected[700:1505]
+    assert list(e.encode_column(pa.array([], pa.string()))) == [] and e.encode(["", ""]) == [b"", b""]
+    assert len(e.known) <= limit
