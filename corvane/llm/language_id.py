@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import blocks, mix
+from corvane.llm.common import blocks, mix, slices, tidy
 
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 #: Characters of a text that are scored at a time.
 STRIP = 1 << 19
+#: Characters of short texts that are counted or scored together; their arrays take some 100 bytes a character.
+BLOCK = 1 << 17
 #: Numbers in a model, which is broadcast: 64 MB, or 256 labels of all buckets.
 MAX_CELLS = 1 << 24
 
@@ -97,20 +99,20 @@ def held_out() -> Column:
 def _count(buckets: int, orders: Sequence[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole, 1)):
             by: dict[str, list[str]] = {}
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(label, []).append(text)
             for label, texts in by.items():
                 mine = counts.setdefault(label, np.zeros(buckets, np.int64))
-                for _, part in blocks(texts):
+                for _, part in blocks(texts, BLOCK):
                     for bucket, _ in hashed_ngrams(part, orders, buckets):
                         mine += np.bincount(bucket, minlength=buckets)
         for label, mine in counts.items():
             at = np.flatnonzero(mine)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(mine[at])], ["label", "bucket", "n"])
 
-    return run
+    return tidy(run)
 
 
 def train(
@@ -152,16 +154,16 @@ def train(
 
 def _predict(model, orders: Sequence[int], names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole, whole.schema.get_field_index("text"))):
             at = batch.schema.get_field_index("text")
             label, score = [], []
-            for _, part in blocks([t or "" for t in batch.column(at).to_pylist()], 1 << 19):
+            for _, part in blocks([t or "" for t in batch.column(at).to_pylist()], BLOCK):
                 a, b = model.value.predict(part, orders)
                 label += a
                 score += b
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, *names])
 
-    return run
+    return tidy(run)
 
 
 def predict(docs: DataFrame, model: Model, orders: Sequence[int] = ORDERS, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -28,7 +28,7 @@ END = 0
 #: Parts whose ids are remembered in a worker, some 200 bytes each.
 REMEMBERED = 200_000
 #: Bytes of text that are encoded at a time.
-GROUP = 8 << 20
+GROUP = 4 << 20
 #: ASCII punctuation that ends words; a run of it behind letters is a pre-token of its own.
 TAIL = ".,;:!?"
 
@@ -164,25 +164,41 @@ class Encoder:
 
     def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text, group by group; null is empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        for group in slices(pa.RecordBatch.from_arrays([texts], ["text"]), 0, GROUP):
-            yield from self._group(group.column(0))
+        for group in slices(pa.RecordBatch.from_arrays([texts.cast(pa.large_string())], ["text"]), 0, GROUP):
+            yield from self._group(pc.fill_null(group.column(0), ""))
 
-    def _group(self, texts: pa.Array) -> list[bytes]:
+    def _group(self, texts: pa.Array) -> Iterator[bytes]:
         odd = _irregular(texts)
         for a in self.added:
             odd |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
         if not odd.any():
-            return self._regular(texts)
-        rest = iter(self._regular(texts.filter(pa.array(~odd))))
+            yield from self._regular(texts)
+            return
         mended = iter(self._mended(texts.filter(pa.array(odd)).to_pylist()))
-        return [next(mended if x else rest) for x in odd.tolist()]
+        rest = self._regular(texts.filter(pa.array(~odd)))
+        for x in odd.tolist():
+            yield next(mended if x else rest)
 
-    def _regular(self, texts: pa.Array) -> list[bytes]:
+    def _regular(self, texts: pa.Array) -> Iterator[bytes]:
         """Texts whose white space is lone spaces and lone newlines, neither first nor last."""
+        if pc.sum(pc.binary_length(texts)).as_py():
+            ids, cuts = self._joined(texts)
+            raw = memoryview(ids.buffers()[2])
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                yield bytes(raw[x:y])
+        else:
+            yield from [b""] * len(texts)
+
+    def _joined(self, texts: pa.Array) -> tuple[pa.Array, list[int]]:
+        """Ids of all parts of texts that aren't all empty, and where each text's ids begin and end in their buffer."""
+        first, indices, parts = self._cut(texts)
+        counts = np.bincount(indices.to_numpy(), minlength=len(parts))
+        ids = pa.array(self._parts(parts.to_pylist(), counts), pa.large_binary()).take(indices)
+        return ids, _offsets(ids)[first].tolist()
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """Each text's first part, which distinct part each part is, and the distinct parts; what the cut takes besides is freed here."""
         offset = _offsets(texts)
-        if not len(texts) or offset[0] == offset[-1]:
-            return [b""] * len(texts)
         buf = np.frombuffer(texts.buffers()[2], np.uint8)[offset[0] : offset[-1]]
         offset = offset - offset[0]
         line = buf == 10
@@ -191,12 +207,9 @@ class Encoder:
         cut[offset[:-1][offset[:-1] < offset[1:]]] = True
         at = np.flatnonzero(cut)
         first = np.searchsorted(at, offset)
+        del line, cut
         parts = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(buf))), pa.py_buffer(buf)).dictionary_encode()
-        counts = np.bincount(parts.indices.to_numpy(), minlength=len(parts.dictionary))
-        ids = pa.array(self._parts(parts.dictionary.to_pylist(), counts), pa.large_binary()).take(parts.indices)
-        cuts = _offsets(ids)[first].tolist()
-        raw = memoryview(ids.buffers()[2])
-        return [bytes(raw[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        return first, parts.indices, parts.dictionary
 
     def _mended(self, texts: list[str]) -> list[bytes]:
         """Texts with other white space: cut at lone separators all the same, each part encoded once.

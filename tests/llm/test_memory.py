@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from corvane.llm import near_dedup, token_output
+from corvane.llm import language_id, near_dedup, token_output
 from corvane.llm.queries import byte_bpe
 from corvane.llm.token_output import Encoder
 from tests.llm import brute
@@ -85,3 +85,37 @@ def test_encoder_takes_columns_in_groups(monkeypatch, group, limit):
     assert list(e.encode_column(pa.array(texts).slice(700, 805))) == expected[700:1505]
     assert list(e.encode_column(pa.array([], pa.string()))) == [] and e.encode(["", ""]) == [b"", b""]
     assert len(e.known) <= limit
+
+
+def test_encoder_frees_the_cut_before_it_encodes(monkeypatch):
+    import tracemalloc
+
+    e, held = Encoder(byte_bpe()), []
+    parts = e._parts
+
+    def noted(*args):
+        held.append(tracemalloc.get_traced_memory()[0])
+        return parts(*args)
+
+    monkeypatch.setattr(e, "_parts", noted)
+    text = "a bc d " * 400_000 + "end"
+    column = pa.array([text])
+    tracemalloc.start()
+    (ids,) = e.encode_column(column)
+    tracemalloc.stop()
+    assert ids == np.array(e.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(held) == 1 and held[0] < len(text)  # masks and places of separators were held: five times the text
+
+
+def test_languages_are_found_a_slice_at_a_time():
+    class Shared:
+        value = language_id.Model(["x", "y"], np.random.default_rng(3).random((256, 2), np.float32), np.zeros(2))
+
+    texts = [f"{i} " + "ab cd" * 200_000 for i in range(12)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(14)), pa.array(texts)], ["doc_id", "text"])
+    out = list(language_id._predict(Shared, (1,), ("l", "s"))(iter([batch])))
+    assert [x for b in out for x in b.column(0).to_pylist()] == list(range(14))
+    assert all(sum(len(t or "") for t in b.column(1).to_pylist()) <= 4 << 20 for b in out)  # all 12 MB came as one batch
+    label, score = Shared.value.predict(texts, (1,))
+    assert [x for b in out for x in b.column(2).to_pylist()] == label
+    assert [x for b in out for x in b.column(3).to_pylist()] == score
