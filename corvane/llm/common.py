@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators.workers import release, slices, tidy
 from corvane.sources.scratch import Scratch, shared_root, spread
 
 #: Java/Spark pattern of the white space that separates words: space and \t \n \v \f \r.
@@ -65,41 +62,6 @@ def without(docs: DataFrame, h: Column, gone: DataFrame, gone_h: str, same: Colu
     return sure.unionByName(rest).drop("__h", "__marked")
 
 
-# --- memory of Python workers -------------------------------------------------
-
-
-def release() -> None:
-    """Give memory that was freed back to the system, where the allocators can."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(AttributeError, OSError, TypeError):  # glibc alone has it
-        ctypes.CDLL(None).malloc_trim(0)
-
-
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """A function for mapInArrow that releases what the worker's last task left, and its own when done: Spark keeps its workers."""
-
-    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        try:
-            yield from run(batches)
-        finally:
-            release()
-
-    return tidied
-
-
-def slices(batch: pa.RecordBatch, text: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """A batch in runs of rows whose column ``text`` holds about ``limit`` bytes, so that Python objects are made of a run alone."""
-    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    end = np.cumsum(size)
-    lo = 0
-    while lo < len(end):
-        done = end[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(end, done + limit, side="right")))
-        yield batch.slice(lo, hi - lo)
-        lo = hi
-
-
 # --- numpy text blocks -------------------------------------------------------
 #
 # A block is a list of documents whose words are joined by one space, and the
