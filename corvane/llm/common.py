@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators.workers import release, slices, tidy
+from corvane.operators.workers import CACHES, map_batches, release, slices, tidy
 from corvane.sources.scratch import Scratch, shared_root, spread
 
 #: Java/Spark pattern of the white space that separates words: space and \t \n \v \f \r.
@@ -73,6 +73,7 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _pow: list[np.ndarray] = []
+CACHES.append(_pow)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import blocks, mix, slices, tidy
+from corvane.llm.common import blocks, map_batches, mix, slices, tidy
 
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
@@ -142,7 +142,7 @@ def train(
         share = F.create_map(*[F.lit(x) for k in labels for x in (k, min(1.0, max_train_docs / n[k]))])
         place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
         sample = rows.where("text IS NOT NULL").where(place < F.element_at(share, F.col("label"))).select("label", "text")
-        sums = sample.mapInArrow(_count(buckets, orders), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+        sums = map_batches(sample, _count(buckets, orders), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
         by_label = sums.groupBy("label").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("c"))  # MAX_CELLS numbers at most
         for r in by_label.collect():
             table[r["b"], labels.index(r["label"])] = r["c"]
@@ -177,4 +177,4 @@ def predict(docs: DataFrame, model: Model, orders: Sequence[int] = ORDERS, names
     docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return docs.mapInArrow(_predict(shared, orders, names), ", ".join([*fields, f"`{names[0]}` string", f"`{names[1]}` double"]))
+    return map_batches(docs, _predict(shared, orders, names), ", ".join([*fields, f"`{names[0]}` string", f"`{names[1]}` double"]))

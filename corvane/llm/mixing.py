@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,7 +163,10 @@ def mix_sources(
         base = min(limit, int(out // n)) if n else 0
         rest = min(out - base * n, float(n)) if base < limit else 0.0
         plan.append((list(p), base, rest, sum(per_source[s] for s in p), float(sum(goal[s] for s in p))))
-    quota = spark.createDataFrame(plan, "pattern array<string>, base int, rest double, source_size long, target double")
+    kinds = (pa.list_(pa.string()), pa.int32(), pa.float64(), pa.int64(), pa.float64())
+    columns = [pa.array([row[i] for row in plan], kind) for i, kind in enumerate(kinds)]
+    # as an Arrow table, since executors start Python workers of another kind for plain rows and keep them
+    quota = spark.createDataFrame(pa.table(columns, ["pattern", "base", "rest", "source_size", "target"]))
     quota = F.broadcast(quota)  # at most max_patterns rows
     # Threshold of each pattern: the bin in which its rest runs out, that bin's own bins, then documents.
     some = narrow.where("size > 0")

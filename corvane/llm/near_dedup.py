@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Block, Scratch, blocks, canonical, marked, marks, mix, shuffle_partitions, slices, span_hashes, tidy
+from corvane.llm.common import Block, Scratch, blocks, canonical, map_batches, marked, marks, mix, shuffle_partitions, slices, span_hashes, tidy
 from corvane.llm.components import connected_components
 
 SHINGLE = 5
@@ -270,7 +270,7 @@ def near_duplicates(
     scratch = Scratch(spark, "near")
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     done = scratch.table(
-        rows_in.mapInArrow(_sketches(bands, rows, seed, shingle), "doc_id long, n_shingles long, hi long, lo long, bands array<long>"),
+        map_batches(rows_in, _sketches(bands, rows, seed, shingle), "doc_id long, n_shingles long, hi long, lo long, bands array<long>"),
         "sketches",
     )
     classes = (
@@ -293,7 +293,7 @@ def near_duplicates(
         some = marked(rows_in.withColumn("__h", F.xxhash64("doc_id")), "__h", table).where("__marked AND text IS NOT NULL")
         texts = tasks.join(some, tasks.node == some.doc_id).select("task", "side", "node", "text")
         dealt = texts.repartition(shuffle_partitions(spark), "task").sortWithinPartitions("task")
-        return dealt.mapInArrow(_verify(percent, shingle), "u long, v long")
+        return map_batches(dealt, _verify(percent, shingle), "u long, v long")
 
     # each class with the centre that shares most keys; a centre's classes in groups of block_docs and block_shingles
     best = edges.groupBy("node").agg(F.max(F.struct("n", (-F.col("low")).alias("low"))).alias("x")).select("node", (-F.col("x.low")).alias("low"))

@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch, shuffle_partitions, slices, tidy
+from corvane.llm.common import Scratch, map_batches, shuffle_partitions, slices, tidy
 
 MAGIC = b"CVSSTB01"
 BLOCK = 64 << 10
@@ -485,7 +485,7 @@ def write_token_shards(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
-    shard = dealt.mapInArrow(_write(folder, tokenizer, end, block), "shard int, file string, first_id long, last_id long, n_docs long, n_tokens long")
+    shard = map_batches(dealt, _write(folder, tokenizer, end, block), "shard int, file string, first_id long, last_id long, n_docs long, n_tokens long")
     path = f"{folder}/manifest"
     shard.write.parquet(path)
     start = F.expr("coalesce(sum(n_tokens) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
@@ -523,7 +523,7 @@ def read_token_shards(manifest: DataFrame, folder: str) -> DataFrame:
     files = manifest.select("file", "start")
     spark = manifest.sparkSession
     files = files.repartition(shuffle_partitions(spark), "file")
-    return files.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids binary")
+    return map_batches(files, _read(folder), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:

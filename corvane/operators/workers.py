@@ -9,10 +9,28 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+#: Bytes of an Arrow batch that a worker is sent, one row at least; a task's JVM and its worker each hold one whole.
+BATCH = 15 << 18
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Lists that modules fill and can fill again: emptied between tasks.
+CACHES: list[list] = []
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` of small batches: the session's limit of bytes is set to BATCH, unless the session was given one."""
+    spark = df.sparkSession
+    if not spark.conf._jconf.contains(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, f"{BATCH}b")
+    return df.mapInArrow(run, schema)
 
 
 def release() -> None:
     """Give memory that was freed back to the system, where the allocators can."""
+    for cache in CACHES:
+        cache.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError, TypeError):  # glibc alone has it
         ctypes.CDLL(None).malloc_trim(0)
