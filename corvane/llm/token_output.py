@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import Scratch, map_batches, shuffle_partitions, slices, tidy
+from corvane.llm.merges import LONGEST, Merges
 
 MAGIC = b"CVSSTB01"
 BLOCK = 64 << 10
@@ -29,8 +30,14 @@ END = 0
 REMEMBERED = 200_000
 #: Bytes of text that are encoded at a time.
 GROUP = 4 << 20
-#: ASCII punctuation that ends words; a run of it behind letters is a pre-token of its own.
-TAIL = ".,;:!?"
+#: What a byte is in a part whose pre-tokens are runs of one kind.  Letters are those of ASCII and, in two bytes, of U+00C0 to U+024F and
+#: U+0400 to U+047F; two signs among these, other characters, and the apostrophe, which may begin a pre-token of a letter or two, make a part OTHER.
+SPACE, LETTER, DIGIT, SIGN, OTHER = range(5)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[33:127] = SIGN
+KIND[[32, 39]] = SPACE, OTHER
+KIND[48:58] = DIGIT
+KIND[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA), 0xD0, 0xD1]] = LETTER
 
 
 class Encoder:
@@ -38,10 +45,12 @@ class Encoder:
 
     In such a tokenizer a space or newline that stands alone between two other characters always
     starts, or is, a pre-token of its own, so a text may be cut there and the parts' ids are the text's.
-    Parts are cut, told apart and put together again as Arrow arrays.  Ids of parts that come more than once in a group are
-    remembered, up to ``limit``; then all but the frequent ones of the group at hand are forgotten.
-    Pre-tokens are split here by the published pattern, since the library's splitter is the slow
-    part, and the library's BPE model encodes them.  Words with characters above ``SAFE`` (whose classes may differ between
+    Parts are cut, told apart and put together again as Arrow arrays.  Those of letters, digits and signs whose bytes tell
+    their class (``KIND``) are split into pre-tokens and merged as arrays too, by the model's own merges.
+
+    The others are split by the published pattern, since the library's splitter is the slow part, and the library's BPE model
+    encodes them; ids of those that come more than once in a group are remembered, up to ``limit``; then all but the
+    frequent ones of the group at hand are forgotten.  Words with characters above ``SAFE`` (whose classes may differ between
     Unicode versions), texts with other white space, and texts that hold the string of an added (special) token, which gets that
     token's id by the library's default, go through the library whole.
     """
@@ -70,7 +79,7 @@ class Encoder:
         alphabet = np.arange(256, dtype="<u4")
         alphabet[others] = 256 + np.arange(len(others))
         self.space, self.line_sign = chr(alphabet[32]), chr(alphabet[10])
-        self.tails: dict[str, bytes] = {}
+        self.merges = Merges.of(self.whole, list(map(chr, alphabet.tolist())))
         self.behind, self.apart = alphabet.copy(), alphabet.copy()
         self.behind[10] = 32  # words hold no newline: it parts pre-tokens
         self.apart[32] = 32  # nor a space: that parts those of bare words
@@ -87,16 +96,7 @@ class Encoder:
         out: dict[str, bytes] = {}
         letters = list(map(str.isalpha, [p[1:] for p in parts] if before else parts))
         alone = list(compress(parts, letters))  # letters alone are one pre-token
-        plain, tailed, bases = [], [], []
-        for p in compress(parts, map(not_, letters)):
-            # letters, then punctuation: two pre-tokens
-            if p[-1] in TAIL and (base := p.rstrip(TAIL))[len(before) :].isalpha() and (p.isascii() or not self.unsafe(p)):
-                tailed.append(p)
-                bases.append(base)
-            else:
-                plain.append(p)
-        known = self.known
-        alone += {b for b in bases if b not in known}.difference(alone)
+        plain = list(compress(parts, map(not_, letters)))
         for group, split in ((alone, False), (plain, True)):
             latin = list(map(str.isascii, group))  # together, since ASCII needs no translation
             other = list(compress(group, map(not_, latin)))
@@ -105,11 +105,6 @@ class Encoder:
                 other = [p for p in other if p not in out]
             self._learn_plain(list(compress(group, latin)), out, before, split)
             self._learn_plain(other, out, before, split)
-        for p, base in zip(tailed, bases, strict=True):
-            tail = p[len(base) :]
-            if tail not in self.tails:
-                self.tails[tail] = self._ids("a" + tail)[len(self._ids("a")) :]
-            out[p] = (out.get(base) or known[base]) + self.tails[tail]
         return out
 
     def _learn_plain(self, parts: list[str], out: dict[str, bytes], before: str, split: bool) -> None:
@@ -141,8 +136,45 @@ class Encoder:
             for p, x, y in zip(part, (start * 4).tolist(), (end * 4).tolist(), strict=True):
                 out[p] = raw[x:y]
 
-    def _parts(self, parts: list[str], counts: np.ndarray) -> list[bytes]:
+    def _parts(self, parts: pa.Array, counts: np.ndarray) -> pa.Array:
         """Ids of distinct parts (a word, a space and a word, or a newline) that come ``counts`` times."""
+        offset = _offsets(parts)
+        buf = np.frombuffer(parts.buffers()[2], np.uint8)[offset[0] : offset[-1]]
+        offset = offset - offset[0]
+        odd, start = self._pieces(buf, offset)
+        first = np.searchsorted(start, offset)
+        plain = np.ones(len(start), bool)
+        plain[first[:-1][odd]] = False
+        count = np.zeros(len(start), np.int64)
+        ids = np.zeros(0, "<u4")
+        if plain.any():
+            ids, count[plain] = self.merges.ids(buf, start[plain], np.diff(start, append=len(buf))[plain])
+        if odd.any():
+            others = self._others(parts.filter(pa.array(odd)).to_pylist(), counts[odd])
+            count[~plain] = [len(v) // 4 for v in others]
+            both, merged = np.empty(int(count.sum()), "<u4"), np.repeat(plain, count)
+            both[merged], both[~merged] = ids, np.frombuffer(b"".join(others), "<u4")
+            ids = both
+        at = np.append(0, np.cumsum(count))[first] * 4
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(parts), [None, pa.py_buffer(at), pa.py_buffer(ids)])
+
+    def _pieces(self, buf: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which parts can't be split by their bytes alone, and where pre-tokens begin; such a part counts as one."""
+        kind = KIND.take(buf)
+        begin = np.zeros(len(buf), bool)
+        begin[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != SPACE)  # a space belongs to the pre-token behind it
+        size = np.diff(offset)
+        odd = size > LONGEST if self.merges else np.ones(len(size), bool)
+        lead = np.flatnonzero((buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7)) | (buf[:-1] == 0xC9) & (buf[1:] > 0x8F))
+        for at in (lead, np.flatnonzero(kind == OTHER)):
+            odd[np.searchsorted(offset, at, side="right") - 1] = True
+        if odd.any():
+            begin[np.repeat(odd, size)] = False
+        begin[offset[:-1]] = True
+        return odd, np.flatnonzero(begin)
+
+    def _others(self, parts: list[str], counts: np.ndarray) -> list[bytes]:
+        """Ids of distinct parts, by the library."""
         found = list(map(self.known.get, parts))
         new = [p for p, v in zip(parts, found, strict=True) if v is None]
         ids = self._learn([p for p in new if p[0] == " "], " ")
@@ -193,7 +225,7 @@ class Encoder:
         """Ids of all parts of texts that aren't all empty, and where each text's ids begin and end in their buffer."""
         first, indices, parts = self._cut(texts)
         counts = np.bincount(indices.to_numpy(), minlength=len(parts))
-        ids = pa.array(self._parts(parts.to_pylist(), counts), pa.large_binary()).take(indices)
+        ids = self._parts(parts, counts).take(indices)
         return ids, _offsets(ids)[first].tolist()
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
@@ -219,7 +251,10 @@ class Encoder:
         cut = [None if any(a in t for a in self.added) else LONE.split(t) for t in texts]
         count = Counter(p for parts in cut if parts for p in parts)
         plain = [p for p in count if len(p.split()) == 1 and not p[-1].isspace() and (p[0] == " " and not p[1].isspace() or not p[0].isspace())]
-        ids = dict(zip(plain, self._parts(plain, np.array([count[p] for p in plain], np.int64)), strict=True))
+        ids = {}
+        if plain:
+            found = self._parts(pa.array(plain, pa.large_string()), np.array([count[p] for p in plain], np.int64))
+            ids = dict(zip(plain, found.to_pylist(), strict=True))
         for p in count:
             if p not in ids:
                 ids[p] = self._ids(p)

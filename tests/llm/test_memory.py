@@ -119,3 +119,48 @@ def test_languages_are_found_a_slice_at_a_time():
     label, score = Shared.value.predict(texts, (1,))
     assert [x for b in out for x in b.column(2).to_pylist()] == label
     assert [x for b in out for x in b.column(3).to_pylist()] == score
+
+
+def test_plain_words_are_merged_without_the_library():
+    class Refuses:
+        def __getattr__(self, name):
+            raise AssertionError("the library was asked")
+
+    r = random.Random(11)
+    letters = "etaonihrsdlu" * 5 + "ETAÀÖØßéöøÿĀŋƀƻǀǅɎɏЀаяѿ"
+    signs = ["0", "1907", ".", "!!", "...", ",", "$", "_", "-", "(", "\"", "#~", "the", "ing", "aaaa"]
+    words = ["".join(r.choice(signs) if r.random() < 0.15 else r.choice(letters) for _ in range(r.randint(1, 24))) for _ in range(20_000)]
+    texts = [r.choice(" \n").join(words[i : i + 40]) for i in range(0, len(words), 40)] + ["a" * 63, "a " + "é" * 31, ""]
+    texts += [f"{c} a{c}b .{c}1 {c}{c}?" for c in map(chr, [*range(0xC0, 0x250), *range(0x400, 0x480)]) if c not in "×÷"]
+    e = Encoder(byte_bpe())
+    expected = [np.array(e.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    e.whole = e.bpe = Refuses()
+    assert e.encode(texts) == expected
+    assert set(e.known) <= {"\n"}
+
+
+def test_words_whose_bytes_do_not_tell_go_through_the_library():
+    e = Encoder(byte_bpe())
+    beside = ["'s", "don't", "!'s", "×", "a×b", "3÷4", "ɐ", "aɐɏ", "µm", "x²", "½", "Ω", "ҁ", "а҂", "語x", "\x00", "a\x7f", "x" * 64, "x" * 65, "é" * 40, "12" * 40, ".," * 50, "ʰ", "é́"]
+    texts = [f"{x} a{x}, b{y}{x}. {x}1\n{y} the" for x in beside for y in beside]
+    expected = [np.array(e.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert e.encode(texts) == expected
+    e.merges = None  # as with a model that does more than merge
+    e.known.clear()
+    assert e.encode(texts) == expected
+
+
+def test_merges_are_refused_where_the_model_does_more():
+    import json
+
+    from tokenizers import Tokenizer
+
+    from corvane.llm.merges import Merges
+
+    e = Encoder(byte_bpe())
+    alphabet = list(map(chr, e.behind))
+    alphabet[10] = e.line_sign
+    j = json.loads(e.whole.to_str())
+    assert Merges.of(e.whole, alphabet) is not None
+    for key, value in (("ignore_merges", True), ("dropout", 0.5), ("end_of_word_suffix", "!")):
+        assert Merges.of(Tokenizer.from_str(json.dumps(j | {"model": j["model"] | {key: value}})), alphabet) is None
